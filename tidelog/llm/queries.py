@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import sharding, warc
+from . import quality, sharding, warc
 from .common import Query, table
 
 
 def queries() -> dict[str, Query]:
     docs = lambda operator: lambda spark, sf_dir: operator(table(spark, sf_dir, "documents"))
     return {
+        "op7_quality": lambda spark, sf_dir: quality.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op9_warc": lambda spark, sf_dir: warc.op9(table(spark, sf_dir, "pages")),
         "op10_sharding": docs(sharding.op10),
     }
