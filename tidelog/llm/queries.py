@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import edit_embedding, quality, set_join, sharding, warc
+from . import edit_embedding, quality, set_join, sharding, suffix_dedup, warc
 from .common import Query, table
 
 
@@ -10,6 +10,7 @@ def queries() -> dict[str, Query]:
     docs = lambda operator: lambda spark, sf_dir: operator(table(spark, sf_dir, "documents"))
     return {
         "op2_set_join": docs(set_join.op2),
+        "op5_suffix_dedup": docs(suffix_dedup.op5),
         "op7_quality": lambda spark, sf_dir: quality.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op8_edit_embedding": docs(edit_embedding.op8),
         "op9_warc": lambda spark, sf_dir: warc.op9(table(spark, sf_dir, "pages")),
