@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, edit_embedding, pieces, quality, set_join, sharding, suffix_dedup, warc
+from . import decontaminate, edit_embedding, packing, pieces, quality, set_join, sharding, suffix_dedup, warc
 from .common import Query, table
 
 
 def queries() -> dict[str, Query]:
     docs = lambda operator: lambda spark, sf_dir: operator(table(spark, sf_dir, "documents"))
     return {
+        "op1_packing": docs(packing.op1),
         "op2_set_join": docs(set_join.op2),
         "op3_pieces": docs(pieces.op3),
         "op5_suffix_dedup": docs(suffix_dedup.op5),
