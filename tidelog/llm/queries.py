@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, edit_embedding, packing, pieces, quality, set_join, sharding, suffix_dedup, warc
+from . import decontaminate, edit_embedding, licences, packing, pieces, quality, set_join, sharding, suffix_dedup, warc
 from .common import Query, table
 
 
@@ -12,6 +12,7 @@ def queries() -> dict[str, Query]:
         "op1_packing": docs(packing.op1),
         "op2_set_join": docs(set_join.op2),
         "op3_pieces": docs(pieces.op3),
+        "op4_licences": docs(licences.op4),
         "op5_suffix_dedup": docs(suffix_dedup.op5),
         "op6_decontaminate": lambda spark, sf_dir: decontaminate.op6(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op7_quality": lambda spark, sf_dir: quality.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
