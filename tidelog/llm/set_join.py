@@ -11,8 +11,9 @@ for a heavy partner are in the lists as well.
 What met forms candidate groups, each of which is verified exactly by scanning inverted
 lists of its whole sets; a group of more than BLOCK shingles is verified in pairs of
 blocks. Equal sets are one class before all that and get its result, so copies cost
-nothing. The order "rarest first" comes from a summary of frequent shingles of fixed
-size; any order gives the same links.
+nothing. The order "rarest first" comes from counters of fixed number; any order gives
+the same links. Members of a list go on together only where bitmaps of their whole sets
+leave a link possible.
 
 A null or blank text is an empty set: no shingle, no link. Rows that share a doc_id are
 one node; a null doc_id is never linked and has a null component.
@@ -28,6 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,8 +37,12 @@ from pyspark.sql import functions as F
 from .common import row_parts, written
 from .graph import components, roots
 
-#: Frequent shingles each task reports, and how many of them, by count, all tasks get: 4 MB.
-LOCAL_FREQUENT, MOST_FREQUENT = 20_000, 250_000
+#: Counters that stand for the frequency of shingles: 16 MB, whatever the input; summed in so many parts.
+COUNTER_BITS, COUNTER_PARTS = 22, 64
+#: Bits of a set's bitmap, at most.
+LARGEST_BITMAP = 1 << 14
+#: Lists longer than this are taken as they are, without looking at bitmaps.
+LONG_LIST = 4096
 #: Shingles of one block of a candidate group.
 BLOCK = 1_500_000
 MOST_WORDS = 400_000
@@ -122,62 +128,78 @@ def subsets(s: np.ndarray, share: tuple[int, int], light: int) -> Iterator[tuple
             yield key, int(n == a)
 
 
-def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many documents hold, sorted, and their counts: a bounded summary over all documents."""
-    schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
+def counters(docs: DataFrame, words: int) -> np.ndarray:
+    """How often shingles fall on each of 2^COUNTER_BITS counters, over all documents."""
+    part = (1 << COUNTER_BITS) // COUNTER_PARTS
+    schema = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
 
-    def count(batches):
-        hashes, h, n, held, size = Hashes(), np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+    def packed(n: np.ndarray) -> bytes:
+        return zstandard.ZstdCompressor(level=1).compress(n.astype(np.uint32).tobytes())
 
-        def merged():
-            every = np.concatenate([h, *held])
-            u, at = np.unique(every, return_inverse=True)
-            k = np.bincount(at, np.concatenate([n, np.ones(len(every) - len(h))]), minlength=len(u)).astype(np.int64)
-            top = np.sort(np.argsort(-k, kind="stable")[: 4 * LOCAL_FREQUENT])
-            return u[top], k[top]
+    def unpacked(blob: bytes) -> np.ndarray:
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint32)
 
+    def count(batches):
+        hashes, total, held, size = Hashes(), np.zeros(1 << COUNTER_BITS, np.uint32), [np.zeros(0, np.uint64)], 0
         for b in batches:
             for t in b.column("text"):
                 held.append(shingles(t.as_py(), words, hashes))
                 size += len(held[-1])
                 if size > 2_000_000:
-                    h, n = merged()
+                    np.add.at(total, counter_of(np.concatenate(held)), np.uint32(1))
                     held, size = [], 0
-        h, n = merged()
-        top = np.argsort(-n, kind="stable")[:LOCAL_FREQUENT]
-        top = top[n[top] > 1]
-        yield pa.RecordBatch.from_arrays([pa.array(h[top].view(np.int64)), pa.array(n[top])], schema=schema)
+        np.add.at(total, counter_of(np.concatenate([np.zeros(0, np.uint64), *held])), np.uint32(1))
+        for k in range(COUNTER_PARTS):
+            own = total[k * part : (k + 1) * part]
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed(own)], pa.binary())], schema=schema)
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist()):
+                total.setdefault(k, np.zeros(part, np.uint32))[:] += unpacked(blob)
+        for k, n in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed(n)], pa.binary())], schema=schema)
+
+    rows = docs.select("text").mapInArrow(count, "part int, blob binary").repartition(COUNTER_PARTS, "part")
+    out = np.zeros(1 << COUNTER_BITS, np.uint32)
+    for r in rows.mapInArrow(add, "part int, blob binary").collect():
+        out[r["part"] * part : (r["part"] + 1) * part] = unpacked(r["blob"])
+    return out
+
+
+def counter_of(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
-    rows = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 3")
-    top = rows.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
-    h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
+
+def parity_bits(s: np.ndarray) -> bytes:
+    """A bitmap in which a shingle flips one bit: two of them differ in at most as many bits as their sets do in shingles."""
+    n = min(LARGEST_BITMAP, max(256, 1 << max(0, len(s) // 2 - 1).bit_length()))
+    return np.packbits((np.bincount((s % np.uint64(n)).astype(np.int64), minlength=n) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
 def set_table(docs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
-    """(doc_id, n_shingles, sig, prefix) of each row: sig names its set; prefix has its rarest shingles, all of a small set."""
-    order = docs.sparkSession.sparkContext.broadcast(frequent(docs, words))  # at most 16 bytes * MOST_FREQUENT
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("prefix", pa.binary())])
+    """(doc_id, n_shingles, sig, prefix, bits) of each row: sig names its set; prefix has its rarest shingles, all of a small set."""
+    order = docs.sparkSession.sparkContext.broadcast(counters(docs, words))  # 4 bytes << COUNTER_BITS
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("prefix", pa.binary()), ("bits", pa.binary())])
 
     def sets(batches):
-        hashes, (h, n) = Hashes(), order.value
+        hashes, n = Hashes(), order.value
         for b in row_parts(batches, "text", 4 << 20):
             out = []
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 s = shingles(t, words, hashes)
-                at = np.minimum(np.searchsorted(h, s), max(0, len(h) - 1))
-                count = np.where(h[at] == s, n[at], 0) if len(h) else np.zeros(len(s), np.int64)
                 kept = len(s) if len(s) <= LARGEST_LIGHT else prefix_length(len(s), share)
-                rarest = s[np.lexsort((s, count))[:kept]]
-                out.append((i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, rarest.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 4, schema)], schema=schema)
+                rarest = s[np.lexsort((s, n[counter_of(s)]))[:kept]]
+                out.append((i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, rarest.tobytes(), parity_bits(s)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, schema)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "doc_id long, n_shingles long, sig binary, prefix binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "doc_id long, n_shingles long, sig binary, prefix binary, bits binary")
 
 
-def met(representatives: DataFrame, share: tuple[int, int], light: int) -> DataFrame:
-    """Edges (a, b) between sets that share a subset or a list entry, as stars."""
+def met(reps: DataFrame, share: tuple[int, int], light: int) -> DataFrame:
+    """Edges (a, b) between sets that share a subset, or a list entry and may link, as stars."""
     listed = -(-(light + 1) * share[0] // share[1])
     schema = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("doc_id", pa.int64())])
 
@@ -200,27 +222,99 @@ def met(representatives: DataFrame, share: tuple[int, int], light: int) -> DataF
             if key:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(kind).astype(np.int32)), pa.array(np.concatenate(size).astype(np.int64)), pa.array(np.concatenate(doc).astype(np.int64))], schema=schema)
 
-    def stars(batches):
-        """Sorted by key, subset or list, size: each run's first, or the first after a gap that no link spans, is its star's centre."""
-        last = (None, None, None, None)  # key, list, size, centre
+    def runs(batches):
+        """Sorted by key, subset or list, size: rows (key, kind, centre, doc_id) of runs of two or more; the first of a run, or the first after a gap that no link spans, is the centre."""
+        last = (None, None, None, None, False)  # key, list, size, centre, whether it began a run
         for b in batches:
             k, t, n, d = (b.column(c).to_numpy() for c in ("key", "kind", "n", "doc_id"))
+            if not len(k):
+                continue
             t = (t > 0).astype(np.int64)
             begins = np.ones(len(k), bool)
             begins[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1]) | (n[:-1] * share[1] < n[1:] * share[0])
-            if len(k) and last[0] is not None:
+            if last[0] is not None:
                 begins[0] = not (k[0] == last[0] and t[0] == last[1] and last[2] * share[1] >= n[0] * share[0])
             at = np.maximum.accumulate(np.where(begins, np.arange(len(k)), -1))
             centre = np.where(at >= 0, d[np.maximum(at, 0)], last[3] if last[3] is not None else -1)
-            if len(k):
-                last = (k[-1], t[-1], n[-1], centre[-1])
-            use = centre != d
-            yield pa.RecordBatch.from_arrays([pa.array(d[use]), pa.array(centre[use])], names=["a", "b"])
-
-    return (
-        representatives.select("doc_id", "n_shingles", "prefix").mapInArrow(emit, "key long, kind int, n long, doc_id long")
-        .repartition("key").sortWithinPartitions("key", F.col("kind") > 0, "n", "doc_id").mapInArrow(stars, "a long, b long")
+            second = ~begins & np.concatenate([[last[4]], begins[:-1]])
+            last = (k[-1], t[-1], n[-1], centre[-1], bool(begins[-1]))
+            use = ~begins
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([x[use], y[second]])) for x, y in ((k, k), (t, t), (centre, centre), (d, centre))], names=["key", "kind", "centre", "doc_id"]
+            )
+
+    found = written(
+        reps.select("doc_id", "n_shingles", "prefix").mapInArrow(emit, "key long, kind int, n long, doc_id long")
+        .repartition("key").sortWithinPartitions("key", F.col("kind") > 0, "n", "doc_id").mapInArrow(runs, "key long, kind long, centre long, doc_id long"),
+        "runs",
     )
+    lists = found.where("kind = 0").join(reps.groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "bits"), "sig").alias("s")), "doc_id")
+    possible = (
+        lists.select("key", "centre", "doc_id", F.col("s.n_shingles").alias("n"), F.col("s.bits").alias("bits"))
+        .repartition("key", "centre").sortWithinPartitions("key", "centre", "doc_id").mapInArrow(lambda batches: neighbours(batches, share), "a long, b long")
+    )
+    return possible.unionByName(found.where("kind > 0").select(F.col("doc_id").alias("a"), F.col("centre").alias("b"))).where("a <> b")
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps of fewer words: halves laid over each other flip alike."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def neighbours(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Lists (key, centre), in order, into stars of the members that their bitmaps connect."""
+
+    def stars(docs, sizes, bitmaps):
+        docs, sizes = np.array(docs), np.array(sizes)
+        words = np.array([len(x) // 8 for x in bitmaps])
+        held = {w: np.frombuffer(b"".join(x for x, v in zip(bitmaps, words) if v == w), np.uint64).reshape(-1, w) for w in np.unique(words).tolist()}
+        row = np.zeros(len(docs), np.int64)
+        for w in held:
+            row[words == w] = np.arange((words == w).sum())
+        left, a, b = np.arange(len(docs)), [], []
+        while len(left):
+            centre, front, left = left[0], [left[0]], left[1:]
+            while front and len(left):
+                i = front.pop()
+                most = sizes[i] + sizes[left] - 2 * -(-share[0] * (sizes[i] + sizes[left]) // (share[0] + share[1]))
+                near = (np.minimum(sizes[i], sizes[left]) * share[1] >= np.maximum(sizes[i], sizes[left]) * share[0]).astype(bool)
+                for w in held:
+                    at = np.flatnonzero(near & (words[left] == w))
+                    if len(at):
+                        both = min(w, words[i])
+                        differ = np.bitwise_count(folded(held[w][row[left[at]]], both) ^ folded(held[int(words[i])][row[i]], both)).sum(1, dtype=np.int64)
+                        near[at] = differ <= most[at]
+                front += left[near].tolist()
+                a += docs[left[near]].tolist()
+                b += [docs[centre]] * int(near.sum())
+                left = left[~near]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    key, held, long = None, ([], [], []), False
+    for batch in batches:
+        out_a, out_b = [], []
+        for k, c, d, n, bits in zip(*(batch.column(x).to_pylist() for x in ("key", "centre", "doc_id", "n", "bits"))):
+            if (k, c) != key:
+                if len(held[0]) > 1 and not long:
+                    yield stars(*held)
+                key, held, long = (k, c), ([], [], []), False
+            if long:
+                out_a.append(d)
+                out_b.append(c)
+                continue
+            for x, y in zip(held, (d, n, bits)):
+                x.append(y)
+            if len(held[0]) > LONG_LIST:
+                out_a += held[0]
+                out_b += [c] * len(held[0])
+                long = True
+        if out_a:
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+    if len(held[0]) > 1 and not long:
+        yield stars(*held)
 
 
 def linked(sets: list[np.ndarray], own: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -317,3 +411,14 @@ def join(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100)) ->
 def op2(docs: DataFrame) -> DataFrame:
     """The digest of join(): four words, 85 of 100."""
     return join(docs, 4, (85, 100))
+
+
+def representatives(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
+    """docs without those that another of smaller id stands for; a repeated row stays once, a row without id always."""
+    found = written(join(docs, words, share), "joined")
+    stay = found.where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_stays")).distinct()
+    kept = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("_stays")), "left_semi")
+    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        again = F.row_number().over(W.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
+        kept = kept.withColumn("_again", again).where("_again = 1 OR doc_id IS NULL").drop("_again")
+    return kept
