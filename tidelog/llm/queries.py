@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import decontaminate, edit_embedding, licences, packing, pieces, quality, set_join, sharding, suffix_dedup, warc
 from .common import Query, table
 
@@ -19,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op8_edit_embedding": docs(edit_embedding.op8),
         "op9_warc": lambda spark, sf_dir: warc.op9(table(spark, sf_dir, "pages")),
         "op10_sharding": docs(sharding.op10),
+        "pipeline": corpus_pipeline.run,
     }
 
 
