@@ -1 +1 @@
-"""plans"""
+"""Derived views and the registered queries over them."""

@@ -1 +1 @@
-"""streaming"""
+"""Streams over event logs: tails, windows, sessions, deduplication, watermarks."""
