@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_parts
+from .common import row_parts, tidied
 from .pieces import Pieces, default_model, load_model, marked_text
 
 ROW = 2048
@@ -122,8 +122,9 @@ def pack(docs: DataFrame, model: str | None = None, most: int = ROW, group: int
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PACKED)], schema=PACKED)
 
         for part in row_parts(batches, "text", 2 << 20):
-            for i, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                ids = np.frombuffer(pieces.encode(marked_text(t or "")), np.int32).astype(kind)
+            texts = [marked_text(t or "") for t in part.column("text").to_pylist()]
+            for i, found in zip(part.column("doc_id").to_pylist(), pieces.encode_all(texts)):
+                ids = np.frombuffer(found, np.int32).astype(kind)
                 if len(ids):
                     held.append((i, np.concatenate([ids, ending])))
                     size += len(ids)
@@ -132,7 +133,7 @@ def pack(docs: DataFrame, model: str | None = None, most: int = ROW, group: int
                 held, size = [], 0
         yield from flush(held)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, DDL)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(work), DDL)
 
 
 def write_matrices(packed: DataFrame, folder: str) -> DataFrame:
@@ -158,7 +159,7 @@ def write_matrices(packed: DataFrame, folder: str) -> DataFrame:
                 batch = next(batches, None)
         yield pa.RecordBatch.from_pydict({"path": [path], "n_rows": [n]}, pa.schema([("path", pa.string()), ("n_rows", pa.int64())]))
 
-    return packed.mapInArrow(write, "path string, n_rows long")
+    return packed.mapInArrow(tidied(write), "path string, n_rows long")
 
 
 def op1(docs: DataFrame) -> DataFrame:

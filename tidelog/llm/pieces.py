@@ -21,10 +21,13 @@ mark (U+2581) comes back with a blank there; any other text comes back as it was
 
 from __future__ import annotations
 
+import array
 import hashlib
+import itertools
 import math
 import pickle
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +36,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_parts, written
+from .common import row_parts, tidied, written
 
 CHUNK = 1 << 15
+#: Stands for a blank in models' pieces.
 MARK = "▁"
 MOST_FRAGMENTS, LONG_FRAGMENT = 400_000, 48
 START = -1
@@ -62,6 +66,27 @@ def load_model(path: str) -> tuple[bytes, int]:
     return data, kind
 
 
+class Known(dict):
+    """Ids of each fragment seen; forgets the older half when it grows too large."""
+
+    def __init__(self, pieces: Pieces):
+        super().__init__()
+        self.pieces = pieces
+
+    def make_room(self, new: int) -> None:
+        if len(self) + new > MOST_FRAGMENTS:
+            kept = list(itertools.islice(self.items(), len(self) // 2, None))[-max(0, MOST_FRAGMENTS - new) :]
+            self.clear()
+            self.update(kept)
+
+    def __missing__(self, fragment: str) -> bytes:
+        ids = self.pieces.ids_of(fragment)
+        if len(fragment) <= LONG_FRAGMENT:
+            self.make_room(1)
+            self[fragment] = ids
+        return ids
+
+
 class Pieces:
     """A model's pieces, the lattice over them and a memory of fragments."""
 
@@ -71,7 +96,7 @@ class Pieces:
         sp = self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.get_piece_size()
         usable = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-        self.ids = {sp.id_to_piece(i): i for i in usable}
+        self.ids = {sp.id_to_piece(i).replace(MARK, " "): i for i in usable}
         self.score = {i: sp.get_score(i) for i in usable}
         self.unknown_score = min(self.score.values(), default=0.0) - 10
         self.kind, self.longest = kind, max(map(len, self.ids), default=1)
@@ -80,17 +105,20 @@ class Pieces:
         self.feed = not any("\n" in p for p in self.ids) and kind == BPE and self.fallback
         self.table = [b"\xef\xbf\xbd"] * n
         for p, i in self.ids.items():
-            self.table[i] = p.replace(MARK, " ").encode()
+            self.table[i] = p.encode()
         for i in range(n):
             if sp.is_control(i):
                 self.table[i] = b""
         if self.fallback:
             for b, i in enumerate(self.bytes):
                 self.table[i] = bytes([b])
-        self.inner = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
-        cut = "\n" if self.feed else ""
-        self.fragments = re.compile(f"\n|{MARK}*[^{MARK}{cut}]+|{MARK}+" if self.feed else f"{MARK}*[^{MARK}]+|{MARK}+") if not self.inner else re.compile("(?s).+")
-        self.known: dict[str, bytes] = {}
+        self.inner = any(re.search("[^ ] ", p) for p in self.ids)
+        pairs = self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        # Signs that no piece has right behind a letter: a run of letters before one is a fragment.
+        signs = re.escape("".join(c for c in string.punctuation if self.feed and not any(b == c and a.isalpha() for a, b in pairs)))
+        words = rf"\n| *[^\W\d_]+(?=[ \n{signs}]|\Z)| *[^ \n]+| +" if self.feed else " *[^ ]+| +"
+        self.fragments = re.compile("(?s).+" if self.inner else words)
+        self.known = Known(self)
         self.joined: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
         self.names = {i: p for p, i in self.ids.items()}
@@ -98,20 +126,29 @@ class Pieces:
     # Whole fragments
 
     def ids_of(self, fragment: str) -> bytes:
-        got = self.known.get(fragment)
-        if got is None:
-            if self.feed:  # behind a line feed there is no blank put in front
-                got = np.array(self.sp.encode("\n" + fragment.replace(MARK, " "))[2:], np.int32).tobytes()
-            else:
-                got = np.array(self.tokens_to_ids(self.trace(fragment, 0, len(fragment), (0, START), (0, START))), np.int32).tobytes()
-            if len(fragment) <= LONG_FRAGMENT:
-                if len(self.known) >= MOST_FRAGMENTS:
-                    self.known.clear()
-                self.known[fragment] = got
-        return got
+        if self.feed:  # behind a line feed there is no blank put in front
+            return np.array(self.sp.encode("\n" + fragment)[2:], np.int32).tobytes()
+        return np.array(self.tokens_to_ids(self.trace(fragment, 0, len(fragment), (0, START), (0, START))), np.int32).tobytes()
+
+    def remember(self, fragments: list[str]) -> None:
+        """Encodes new fragments in few calls, each behind a line feed, which no piece joins and no blank is put behind."""
+        new = [f for f in set(fragments).difference(self.known) if len(f) <= LONG_FRAGMENT and f != "\n"] if self.feed else []
+        new = new[: MOST_FRAGMENTS // 2]
+        self.known.make_room(len(new))
+        if new:
+            for first in range(0, len(new), 50_000):
+                part = new[first : first + 50_000]
+                found = self.sp.encode(["\n" + f for f in part], num_threads=1)
+                self.known.update((f, array.array("i", ids[2:]).tobytes()) for f, ids in zip(part, found))
+
+    def encode_all(self, marked: list[str]) -> list[bytes]:
+        """encode() of many texts, whose new fragments are encoded together."""
+        cut = [self.fragments.findall(t) for t in marked]
+        self.remember([f for fragments in cut for f in fragments])
+        return [b"".join(map(self.known.__getitem__, fragments)) for fragments in cut]
 
     def encode(self, marked: str) -> bytes:
-        return b"".join(map(self.ids_of, self.fragments.findall(marked)))
+        return b"".join(map(self.known.__getitem__, self.fragments.findall(marked)))
 
     def decode(self, ids: bytes) -> str:
         data = b"".join(map(self.table.__getitem__, np.frombuffer(ids, np.int32).tolist()))
@@ -123,8 +160,7 @@ class Pieces:
         """Whether no piece spans the place before text[p]."""
         if p == 0 or p == len(text):
             return True
-        before, at = text[p - 1], text[p]
-        return not self.inner and at == MARK and before != MARK or self.feed and (at == "\n" or before == "\n")
+        return text[p - 1 : p + 1] not in self.pairs
 
     def merged(self, text: str) -> list[str]:
         parts = list(text)
@@ -282,7 +318,8 @@ def border_states(matrices: list[dict]) -> list[tuple[int, int]]:
 
 
 def marked_text(text: str) -> str:
-    return MARK + text.replace(" ", MARK) if text else ""
+    """The text as models see it: a blank in front, the mark for blanks the same as one."""
+    return " " + text.replace(MARK, " ") if text else ""
 
 
 OUT = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_pieces", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
@@ -310,7 +347,8 @@ def encode(docs: DataFrame, model: str | None = None, with_ids: bool = True, chu
     def whole(batches):
         pieces = Pieces(*sent.value)
         for part in row_parts(batches, "text", 2 << 20):
-            yield rows([(i, len(t), pieces.encode(marked_text(t))) for i, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist())], pieces)
+            texts = part.column("text").to_pylist()
+            yield rows(list(zip(part.column("doc_id").to_pylist(), map(len, texts), pieces.encode_all([marked_text(t) for t in texts]))), pieces)
 
     parts = pa.schema([("uid", pa.int64()), ("no", pa.int64()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("text", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("matrix", pa.binary())])
 
@@ -363,11 +401,11 @@ def encode(docs: DataFrame, model: str | None = None, with_ids: bool = True, chu
         if held:
             yield rows([(held[0], held[1], b"".join(held[2]))], pieces)
 
-    small = own.where(F.length("text") <= 2 * chunk).mapInArrow(whole, ddl)
-    giants = written(own.where(F.length("text") > 2 * chunk).mapInArrow(chunks, "uid long, no long, doc_id long, n_chars long, text string, low long, high long, matrix binary"), "chunks")
-    at = giants.select("uid", "no", "matrix").repartition("uid").sortWithinPartitions("uid", "no").mapInArrow(settle, "uid long, no long, entry binary, exit binary")
-    traced = giants.drop("matrix").join(at, ["uid", "no"]).mapInArrow(trace, "uid long, no long, doc_id long, n_chars long, ids binary")
-    return small.unionByName(traced.repartition("uid").sortWithinPartitions("uid", "no").mapInArrow(gather, ddl))
+    small = own.where(F.length("text") <= 2 * chunk).mapInArrow(tidied(whole), ddl)
+    giants = written(own.where(F.length("text") > 2 * chunk).mapInArrow(tidied(chunks), "uid long, no long, doc_id long, n_chars long, text string, low long, high long, matrix binary"), "chunks")
+    at = giants.select("uid", "no", "matrix").repartition("uid").sortWithinPartitions("uid", "no").mapInArrow(tidied(settle), "uid long, no long, entry binary, exit binary")
+    traced = giants.drop("matrix").join(at, ["uid", "no"]).mapInArrow(tidied(trace), "uid long, no long, doc_id long, n_chars long, ids binary")
+    return small.unionByName(traced.repartition("uid").sortWithinPartitions("uid", "no").mapInArrow(tidied(gather), ddl))
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -380,7 +418,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
             out = [pieces.decode(np.array(x or [], np.int32).tobytes()) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(texts, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(tidied(texts), "doc_id long, text string")
 
 
 def op3(docs: DataFrame) -> DataFrame:
