@@ -1 +1,57 @@
-"""sources"""
+"""A Spark data source over timelines: ``spark.dataSource.register(EventLogSource)``, then format "eventlog".
+
+Needs ``spark.sql.python.filterPushdown.enabled``, for bounds on the offset.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import pyarrow.dataset as ds
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+
+
+@dataclass
+class Piece(InputPartition):
+    path: str
+
+
+class EventLogReader(DataSourceReader):
+    """One partition a file; bounds on the offset are pushed into the file's own statistics."""
+
+    def __init__(self, path: str):
+        self.path, self.low, self.high = path, None, None
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if f.attribute == ("off",):
+                if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
+                    bound = f.value + isinstance(f, GreaterThan)
+                    self.low = bound if self.low is None else max(self.low, bound)
+                if isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):
+                    bound = f.value - isinstance(f, LessThan)
+                    self.high = bound if self.high is None else min(self.high, bound)
+            yield f  # Spark checks once more
+
+    def partitions(self):
+        return [Piece(f) for f in ds.dataset(self.path, format="parquet", exclude_invalid_files=True).files]
+
+    def read(self, partition):
+        test = None
+        for bound in ((ds.field("off") >= self.low) if self.low is not None else None, (ds.field("off") <= self.high) if self.high is not None else None):
+            if bound is not None:
+                test = bound if test is None else test & bound
+        names = ["off", "term", "ts_ms", "key", "txn_id", "payload"]
+        yield from ds.dataset(partition.path, format="parquet").to_batches(columns=names, filter=test)
+
+
+class EventLogSource(DataSource):
+    @classmethod
+    def name(cls):
+        return "eventlog"
+
+    def schema(self):
+        return "off long, term long, ts_ms long, key binary, txn_id long, payload binary"
+
+    def reader(self, schema):
+        return EventLogReader(self.options["path"])
