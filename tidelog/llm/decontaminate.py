@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_parts
+from .common import row_parts, tidied
 
 Q, EDITS = 10, 0.05
 #: Characters of items in one broadcast block, and of a document in one piece.
@@ -169,7 +169,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-        return own.mapInArrow(search, PAIRS)
+        return own.mapInArrow(tidied(search), PAIRS)
 
     found = passed(0)
     for block in range(1, blocks):

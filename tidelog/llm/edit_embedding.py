@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 SAMPLES, LEVELS, SEED = 64, 40, 8
 CLASSES, PERIOD = 256, 4096
 #: Below so many texts in step, texts are walked one at a time.
@@ -176,7 +178,7 @@ def compare_next(docs: DataFrame, seed: int = SEED) -> DataFrame:
                 [walk.likeness(prints[i], c) for i, c in zip(own, changed)], [walk.likeness(prints[i], prints[i + 1]) for i in own],
             ), schema)], schema=schema)
 
-    return with_next(docs).select("_bucket", "_ahead", "doc_id", "text").mapInArrow(work, OUT)
+    return with_next(docs).select("_bucket", "_ahead", "doc_id", "text").mapInArrow(tidied(work), OUT)
 
 
 def fingerprint(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -188,14 +190,15 @@ def fingerprint(docs: DataFrame, seed: int = SEED) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fingerprints(b.column("text").to_pylist(), walk), pa.string())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(work, "doc_id long, fingerprint string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidied(work), "doc_id long, fingerprint string")
 
 
 def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, bits: int = 12, seed: int = SEED) -> DataFrame:
     """Pairs (doc_id, other_id, near): documents linked, through class and band leaders, by bit-sampled bands, each verified by likeness.
 
-    Equal fingerprints are one class, which its smallest id stands for; in a band each class is
-    compared with its bucket's smallest, so a bucket of n makes n - 1 pairs, not n * (n - 1) / 2.
+    Equal fingerprints are one class: its members are paired with its smallest id, which stands
+    for them. In a band each class is compared with its bucket's smallest, so a bucket of n makes
+    n - 1 pairs, not n * (n - 1) / 2.
     """
 
     def keys(batches):
@@ -220,13 +223,15 @@ def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, bits: int
             yield b.append_column("near", pa.array([walk.likeness(x, y) for x, y in zip(b.column("fingerprint").to_pylist(), b.column("other").to_pylist())], pa.float64()))
 
     classes = prints.where("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "fingerprint")
-    keyed = classes.mapInArrow(keys, "doc_id long, fingerprint string, key string")
+    keyed = classes.mapInArrow(tidied(keys), "doc_id long, fingerprint string, key string")
     leaders = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "fingerprint")).alias("lead"), F.count("*").alias("n")).where("n > 1")
     found = (
         keyed.join(leaders, "key").where("doc_id <> lead.doc_id")
         .select("doc_id", "fingerprint", F.col("lead.doc_id").alias("other_id"), F.col("lead.fingerprint").alias("other")).distinct()
     )
-    return found.mapInArrow(verify, "doc_id long, fingerprint string, other_id long, other string, near double").where(F.col("near") >= least).select("doc_id", "other_id", "near")
+    near = found.mapInArrow(tidied(verify), "doc_id long, fingerprint string, other_id long, other string, near double").where(F.col("near") >= least).select("doc_id", "other_id", "near")
+    same = prints.join(classes.withColumnRenamed("doc_id", "other_id"), "fingerprint").where("doc_id <> other_id")
+    return near.unionByName(same.select("doc_id", "other_id", F.lit(1.0).cast("double").alias("near")))
 
 
 def op8(docs: DataFrame) -> DataFrame:

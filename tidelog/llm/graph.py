@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, written
+from .common import forget, tidied, written
 
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -45,7 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
     Every step pre-aggregates by node and joins the edges with those minima, an equi join
     that may be split where a node has many edges; nothing is gathered by component.
     """
-    now = written(edges.select("a", "b").where("a <> b").mapInArrow(contracted, "a long, b long").distinct(), "edges")
+    now = written(edges.select("a", "b").where("a <> b").mapInArrow(tidied(contracted), "a long, b long").distinct(), "edges")
     state = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

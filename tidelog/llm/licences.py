@@ -130,5 +130,29 @@ def op4(docs: DataFrame) -> DataFrame:
         "doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
         F.array_min(F.transform(base, lambda p: p["start"])).alias("first_word"), F.array_max(F.transform(base, lambda p: p["start"])).alias("last_word"),
         joined(base).alias("base_labels"), joined(F.col("places")).alias("labels"),
-        F.coalesce(F.array_max(F.transform("places", lambda p: p["share"])), F.lit(0.0)).alias("score"),
+        F.round(F.coalesce(F.array_max(F.transform("places", lambda p: p["share"])), F.lit(0.0)), 6).alias("score"),
     )
+
+
+def oracle() -> str:
+    """The rows of op4() as DuckDB SQL: every place of every key phrase, tried one by one."""
+    words = lambda text: "[" + ", ".join(f"'{w}'" for w in text.split()) + "]"
+    rows = []
+    for text, key, label, base in [*((p, p, v, "true") for p, v in BASE.items()), *((*t, "false") for t in TEMPLATES)]:
+        w, k = text.split(), key.split()
+        at = next(i for i in range(len(w)) if w[i : i + len(k)] == k)
+        rows.append(f"({words(text)}, {words(key)}, {at}, '{label}', {base})")
+    return f"""
+    WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '{BETWEEN}'), lambda x: x <> '') AS w FROM documents),
+    t(words, key, place, label, base) AS (VALUES {", ".join(rows)}),
+    df AS (SELECT x, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(w) AS x FROM d) WHERE x IN ({", ".join(f"'{w}'" for w in template_words())}) GROUP BY x),
+    m AS (SELECT coalesce(map(list(x), list(n)), map()) AS n FROM df),
+    tw AS (SELECT t.*, list_transform(t.words, lambda x: greatest(0.01e0, ln((c.total + 1) / (coalesce(m.n[x], 0) + 0.5e0)))) AS weights FROM t, m, (SELECT count(*) AS total FROM documents) c),
+    starts AS (SELECT doc_id, w, words, label, base, weights, place, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(key)] = key)) - place AS start FROM d, tw WHERE list_contains(w, key[1])),
+    places AS (SELECT doc_id, label, base, start, least(1e0, list_sum(list_transform(range(len(words)), lambda j: CASE WHEN w[start + j + 1] = words[j + 1] THEN weights[j + 1] ELSE 0e0 END)) / list_sum(weights)) AS share
+        FROM starts WHERE start >= 0),
+    good AS (SELECT * FROM places WHERE base OR share >= {LEAST_SHARE})
+    SELECT d.doc_id, CAST(len(any_value(d.w)) AS BIGINT) AS n_words, count(g.start) FILTER (g.base) AS n_base, min(g.start) FILTER (g.base) AS first_word, max(g.start) FILTER (g.base) AS last_word,
+        coalesce(string_agg(DISTINCT g.label, ',' ORDER BY g.label) FILTER (g.base), '') AS base_labels, coalesce(string_agg(DISTINCT g.label, ',' ORDER BY g.label), '') AS labels,
+        round(coalesce(max(g.share), 0e0), 6) AS score
+    FROM d LEFT JOIN good g ON d.doc_id = g.doc_id GROUP BY d.doc_id"""

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 BUCKETS = 1 << 13
 FACTORS = 8
 #: Labelled rows that the machine is fitted on, at most.
@@ -150,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mac
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = (
         own.join(F.broadcast(chosen), "doc_id")  # at most most_rows rows
-        .mapInArrow(figures, "doc_id long, label int, at binary, val binary, dense binary")
+        .mapInArrow(tidied(figures), "doc_id long, label int, at binary, val binary, dense binary")
         .dropDuplicates(["doc_id"]).collect()
     )
     found.sort(key=lambda r: r["doc_id"])
@@ -169,7 +171,7 @@ def score(docs: DataFrame, machine: Machine, column: str = "_score") -> DataFram
             found = pa.array([m.score(*features(t.as_py(), buckets)) for t in b.column("text")], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, found], names=[*b.schema.names, column])
 
-    return docs.drop(column).mapInArrow(scores, schema)
+    return docs.drop(column).mapInArrow(tidied(scores), schema)
 
 
 def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:

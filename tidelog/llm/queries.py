@@ -26,4 +26,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the operators that SQL can express; the others are tested against brute force."""
+    return {"op4_licences": licences.oracle(), "op9_warc": warc.oracle()}

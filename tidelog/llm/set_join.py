@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import row_parts, written
+from .common import row_parts, tidied, written
 from .graph import components, roots
 
 #: Counters that stand for the frequency of shingles: 16 MB, whatever the input; summed in so many parts.
@@ -162,9 +162,9 @@ def counters(docs: DataFrame, words: int) -> np.ndarray:
         for k, n in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed(n)], pa.binary())], schema=schema)
 
-    rows = docs.select("text").mapInArrow(count, "part int, blob binary").repartition(COUNTER_PARTS, "part")
+    rows = docs.select("text").mapInArrow(tidied(count), "part int, blob binary").repartition(COUNTER_PARTS, "part")
     out = np.zeros(1 << COUNTER_BITS, np.uint32)
-    for r in rows.mapInArrow(add, "part int, blob binary").collect():
+    for r in rows.mapInArrow(tidied(add), "part int, blob binary").collect():
         out[r["part"] * part : (r["part"] + 1) * part] = unpacked(r["blob"])
     return out
 
@@ -195,7 +195,7 @@ def set_table(docs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
                 out.append((i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, rarest.tobytes(), parity_bits(s)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, schema)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "doc_id long, n_shingles long, sig binary, prefix binary, bits binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(sets), "doc_id long, n_shingles long, sig binary, prefix binary, bits binary")
 
 
 def met(reps: DataFrame, share: tuple[int, int], light: int) -> DataFrame:
@@ -244,14 +244,14 @@ def met(reps: DataFrame, share: tuple[int, int], light: int) -> DataFrame:
             )
 
     found = written(
-        reps.select("doc_id", "n_shingles", "prefix").mapInArrow(emit, "key long, kind int, n long, doc_id long")
-        .repartition("key").sortWithinPartitions("key", F.col("kind") > 0, "n", "doc_id").mapInArrow(runs, "key long, kind long, centre long, doc_id long"),
+        reps.select("doc_id", "n_shingles", "prefix").mapInArrow(tidied(emit), "key long, kind int, n long, doc_id long")
+        .repartition("key").sortWithinPartitions("key", F.col("kind") > 0, "n", "doc_id").mapInArrow(tidied(runs), "key long, kind long, centre long, doc_id long"),
         "runs",
     )
     lists = found.where("kind = 0").join(reps.groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "bits"), "sig").alias("s")), "doc_id")
     possible = (
         lists.select("key", "centre", "doc_id", F.col("s.n_shingles").alias("n"), F.col("s.bits").alias("bits"))
-        .repartition("key", "centre").sortWithinPartitions("key", "centre", "doc_id").mapInArrow(lambda batches: neighbours(batches, share), "a long, b long")
+        .repartition("key", "centre").sortWithinPartitions("key", "centre", "doc_id").mapInArrow(tidied(lambda batches: neighbours(batches, share)), "a long, b long")
     )
     return possible.unionByName(found.where("kind > 0").select(F.col("doc_id").alias("a"), F.col("centre").alias("b"))).where("a <> b")
 
@@ -367,7 +367,7 @@ def verified(grouped: DataFrame, words: int, share: tuple[int, int]) -> DataFram
         if len(group) > 1 and (out := flush(group)) is not None:
             yield out
 
-    return grouped.mapInArrow(verify, "a long, b long")
+    return grouped.mapInArrow(tidied(verify), "a long, b long")
 
 
 def join(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, row_parts, written
+from .common import LAST_ID, row_parts, tidied, written
 
 WINDOW, GRAM = 100, 20
 LEFT = WINDOW - GRAM
@@ -44,9 +44,9 @@ SPAN = LEFT + WINDOW
 SHALLOW = 32
 HOT_LEAST, HOT_SHARE = 20_000, 2000
 #: Texts longer than this are searched in pieces that overlap by a window.
-PIECE = 1 << 22
+PIECE = 1 << 20
 #: Anchors and contexts a task holds before it sends them on.
-HELD_ANCHORS, HELD_CONTEXTS = 1_000_000, 100_000
+HELD_ANCHORS, HELD_CONTEXTS = 400_000, 50_000
 PLACE = np.uint64((1 << 24) - 1)
 TABLE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
 ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D)]
@@ -199,7 +199,7 @@ def hot_anchors(docs: DataFrame) -> np.ndarray:
         top = sorted(found.items(), key=lambda x: (-x[1], x[0]))[: 4 * HOT_SHARE]
         yield pa.RecordBatch.from_arrays([pa.array(np.array([k for k, _ in top] or [0], np.uint64).view(np.int64)), pa.array([n for _, n in top] or [0], pa.int64()), pa.array([total] + [0] * (max(1, len(top)) - 1), pa.int64())], schema=schema)
 
-    rows = docs.select("text").mapInArrow(count, "h long, n long, total long")
+    rows = docs.select("text").mapInArrow(tidied(count), "h long, n long, total long")
     summed = rows.groupBy("h").agg(F.sum("n").alias("n")).where(f"n >= {HOT_LEAST}")
     found = summed.orderBy(F.desc("n")).limit(HOT_SHARE).collect()
     total = rows.agg(F.sum("total")).first()[0] if found else 0
@@ -229,7 +229,7 @@ def find_anchors(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             columns = [np.concatenate(c) for c in zip(*held)]
             yield from dealt(ANCHORS, (columns[0] % np.uint64(buckets)).astype(np.int32), columns)
 
-    return docs.select("_doc", "text").mapInArrow(work, ROW)
+    return docs.select("_doc", "text").mapInArrow(tidied(work), ROW)
 
 
 def hot_windows(texts, doc, check, i, at, buckets) -> Iterator[pa.RecordBatch]:
@@ -303,7 +303,7 @@ def repeated(found: DataFrame, buckets: int) -> DataFrame:
         at = order[later]
         yield from marks(d[at], c[at], s[at], s[at] + WINDOW, buckets)
 
-    return found.repartition(buckets, "bucket").mapInArrow(work, ROW)
+    return found.repartition(buckets, "bucket").mapInArrow(tidied(work), ROW)
 
 
 def with_blobs(docs: DataFrame, blobs: DataFrame, buckets: int) -> DataFrame:
@@ -380,7 +380,7 @@ def fetch_contexts(rows: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield from settle(held)
 
-    return rows.select("bucket", "kind", "blob", "_doc", "text").mapInArrow(work, ROW)
+    return rows.select("bucket", "kind", "blob", "_doc", "text").mapInArrow(tidied(work), ROW)
 
 
 class BlindTrie:
@@ -522,7 +522,7 @@ def compare_contexts(found: DataFrame, buckets: int) -> DataFrame:
             if len(i):
                 yield from marks(d[o][i], c[o][i], start, end, buckets)
 
-    return found.repartition(buckets, "bucket").mapInArrow(work, ROW)
+    return found.repartition(buckets, "bucket").mapInArrow(tidied(work), ROW)
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -568,7 +568,7 @@ def dedupe(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([row, *columns], names=["_row", "_kept", "_removed", "_spans"])
 
     result = rows.select("bucket", "kind", "blob", "_doc", "text", "_row").mapInArrow(
-        cut, f"_row {own.select(F.struct(*docs.columns).alias('_row')).schema['_row'].dataType.simpleString()}, _kept binary, _removed long, _spans long"
+        tidied(cut), f"_row {own.select(F.struct(*docs.columns).alias('_row')).schema['_row'].dataType.simpleString()}, _kept binary, _removed long, _spans long"
     )
     return result.select("_row.*", "_kept", "_removed", "_spans")
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, written
+from .common import fresh_path, tidied, written
 
 CHUNK = 1 << 20
 #: Rows of a hot payload are spread over so many join keys.
@@ -127,7 +127,7 @@ def write_monolithic(records_of: DataFrame, folder: str) -> DataFrame:
             out.write(deflate.flush())
         yield pa.RecordBatch.from_pydict({"path": [path], "index_path": [None], "records": [n]}, pa.schema([("path", pa.string()), ("index_path", pa.string()), ("records", pa.int64())]))
 
-    return records_of.mapInArrow(write, FILES)
+    return records_of.mapInArrow(tidied(write), FILES)
 
 
 def normalise(files: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def normalise(files: DataFrame) -> DataFrame:
             new = [one(path) for path in batch.column("path").to_pylist()]
             yield pa.RecordBatch.from_pydict(dict(zip(("path", "index_path", "records"), map(list, zip(*new)))) if new else {"path": [], "index_path": [], "records": []}, pa.schema([("path", pa.string()), ("index_path", pa.string()), ("records", pa.int64())]))
 
-    return files.mapInArrow(rewrite, FILES)
+    return files.mapInArrow(tidied(rewrite), FILES)
 
 
 def read_indexed(files: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def read_indexed(files: DataFrame) -> DataFrame:
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
-    return files.mapInArrow(read, READ)
+    return files.mapInArrow(tidied(read), READ)
 
 
 def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -219,3 +219,13 @@ def round_trip(pages: DataFrame, least_bytes: int = 0, folder: str | None = None
 def op9(pages: DataFrame) -> DataFrame:
     """The digest of round_trip(): payloads of any size may be revisited."""
     return round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def oracle() -> str:
+    """The rows of op9() as DuckDB SQL; base32 goes by 20 bits, four characters, at a time."""
+    letter = lambda shift: f"'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v >> {shift}) & 31) + 1]"
+    digits = "array_to_string(list_transform(list_transform(range(8), lambda i: CAST('0x' || h[5 * i + 1 : 5 * i + 5] AS BIGINT)), lambda v: " + " || ".join(map(letter, (15, 10, 5, 0))) + "), '')"
+    return f"""
+    SELECT page_id, n AS payload_bytes, {digits} AS payload_digest, CASE WHEN page_id = r THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id <> r THEN r END AS refers_to
+    FROM (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS r FROM pages)"""
