@@ -45,22 +45,20 @@ LARGEST_BITMAP = 1 << 14
 LONG_LIST = 4096
 #: Shingles of one block of a candidate group.
 BLOCK = 1_500_000
-MOST_WORDS = 400_000
+#: Bytes of text whose words are hashed at once.
+PIECE = 1 << 20
 #: Sizes for which enumeration is weighed at all; beyond, subsets grow too fast.
 LARGEST_LIGHT = 24
 #: Cost of a list entry in units of a subset: it is sorted, and its group verified.
 ENTRY_COST = 4.0
 MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-class Hashes(dict):
-    """64-bit hash of each word seen; forgets all when it grows too large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+STEP = np.uint64(0xD6E8FEB86659FD93)
+#: ASCII blanks: between words.
+BLANKS = b" \t\n\x0b\x0c\r"
+BLANK = np.isin(np.arange(256), list(BLANKS))
+#: A random number for each byte, the same for a letter's two cases.
+TABLE = np.random.default_rng(12).integers(1, 2**63, 256, dtype=np.uint64)
+TABLE[ord("A") : ord("Z") + 1] = TABLE[ord("a") : ord("z") + 1]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -68,18 +66,50 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingles(text: str | None, words: int, hashes: Hashes) -> np.ndarray:
-    """Sorted distinct hashes of the runs of words; ASCII letters lower-cased, ASCII blanks between words."""
-    tokens = (text or "").encode().lower().split()
-    n = len(tokens)
-    h = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, n)
-    span = min(words, n)
-    if not span:
-        return h
-    out = np.zeros(n - span + 1, np.uint64)
-    for k in range(span):
-        out = mixed(out) + h[k : n - span + 1 + k]
-    return np.unique(mixed(out + np.uint64(span)))
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """STEP to the powers 0 to n - 1, and those of its inverse, modulo 2^64."""
+    with np.errstate(over="ignore"):
+        return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(0, n - 1), x, np.uint64))]) for x in (STEP, np.uint64(pow(int(STEP), -1, 1 << 64))))
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, and where it begins: a polynomial in its bytes, ASCII letters lower-cased, read off one running sum."""
+    held, begins, at = [], [], 0
+    up, down = powers(min(len(data) + 1, PIECE + 1))
+    while at < len(data):
+        stop = min(len(data), at + PIECE)
+        if stop < len(data):  # not inside a word, unless it is longer than a piece
+            cut = max(data.rfind(c, at, stop) for c in BLANKS)
+            stop = cut + 1 if cut > at else next((j for j in range(stop, len(data)) if data[j] in BLANKS), len(data))
+        if stop - at >= len(up):
+            up, down = powers(stop - at + 1)
+        piece = np.frombuffer(data, np.uint8, stop - at, at)
+        blank = BLANK[piece]
+        edge = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
+        first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(TABLE[piece] * up[: len(piece)])])
+        held.append((total[last] - total[first]) * down[first])
+        begins.append(first + at)
+        at = stop
+    return (np.concatenate(held), np.concatenate(begins)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def shingles_of(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its runs of words; of all its words if they are fewer."""
+    data = [(t or "").encode() for t in texts]
+    h, at = word_hashes(b" ".join(data))
+    sizes = np.array([len(d) + 1 for d in data])
+    count = np.diff(np.searchsorted(at, np.concatenate([[0], np.cumsum(sizes)])))
+    ends = np.cumsum(count)
+
+    def runs(h: np.ndarray, span: int) -> np.ndarray:
+        out = np.zeros(len(h) - span + 1, np.uint64)
+        for k in range(span):
+            out = mixed(out) + h[k : len(h) - span + 1 + k]
+        return mixed(out + np.uint64(span))
+
+    whole = runs(h, words) if len(h) >= words else None
+    return [np.unique(whole[e - n : e - words + 1] if n >= words else runs(h[e - n : e], n)) if n else np.zeros(0, np.uint64) for e, n in zip(ends.tolist(), count.tolist())]
 
 
 def overlap_needed(a: int, b: int, share: tuple[int, int]) -> int:
@@ -140,15 +170,9 @@ def counters(docs: DataFrame, words: int) -> np.ndarray:
         return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint32)
 
     def count(batches):
-        hashes, total, held, size = Hashes(), np.zeros(1 << COUNTER_BITS, np.uint32), [np.zeros(0, np.uint64)], 0
-        for b in batches:
-            for t in b.column("text"):
-                held.append(shingles(t.as_py(), words, hashes))
-                size += len(held[-1])
-                if size > 2_000_000:
-                    np.add.at(total, counter_of(np.concatenate(held)), np.uint32(1))
-                    held, size = [], 0
-        np.add.at(total, counter_of(np.concatenate([np.zeros(0, np.uint64), *held])), np.uint32(1))
+        total = np.zeros(1 << COUNTER_BITS, np.uint32)
+        for b in row_parts(batches, "text", PIECE):
+            np.add.at(total, counter_of(np.concatenate(shingles_of(b.column("text").to_pylist(), words))), np.uint32(1))
         for k in range(COUNTER_PARTS):
             own = total[k * part : (k + 1) * part]
             if own.any():
@@ -185,11 +209,10 @@ def set_table(docs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("prefix", pa.binary()), ("bits", pa.binary())])
 
     def sets(batches):
-        hashes, n = Hashes(), order.value
-        for b in row_parts(batches, "text", 4 << 20):
+        n = order.value
+        for b in row_parts(batches, "text", PIECE):
             out = []
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                s = shingles(t, words, hashes)
+            for i, s in zip(b.column("doc_id").to_pylist(), shingles_of(b.column("text").to_pylist(), words)):
                 kept = len(s) if len(s) <= LARGEST_LIGHT else prefix_length(len(s), share)
                 rarest = s[np.lexsort((s, n[counter_of(s)]))[:kept]]
                 out.append((i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, rarest.tobytes(), parity_bits(s)))
@@ -207,16 +230,17 @@ def met(reps: DataFrame, share: tuple[int, int], light: int) -> DataFrame:
         for b in batches:
             key, kind, size, doc = [], [], [], []
             for i, n, p in zip(b.column("doc_id").to_pylist(), b.column("n_shingles").to_pylist(), b.column("prefix").to_pylist()):
-                s = np.frombuffer(p, np.uint64)
+                s, m = np.frombuffer(p, np.uint64), 0
                 if n >= listed:
                     own = s[: prefix_length(n, share)]
                     key.append(own)
                     kind.append(np.zeros(len(own), np.int32))
+                    m += len(own)
                 if n <= light:
                     got = list(subsets(np.sort(s), share, light))
                     key.append(np.array([k for k, _ in got], np.uint64))
                     kind.append(np.array([2 - small for _, small in got], np.int32))
-                m = sum(map(len, key)) - sum(map(len, size))
+                    m += len(got)
                 size.append(np.full(m, n))
                 doc.append(np.full(m, i))
             if key:
@@ -346,16 +370,14 @@ def verified(grouped: DataFrame, words: int, share: tuple[int, int]) -> DataFram
     """Rows (grp, low, high, side, doc_id, text), sorted by group in each partition, into stars (a, b) of what really links."""
 
     def flush(group):
-        hashes = flush.hashes
         ids = np.array([g[0] for g in group])
-        x, y = linked([shingles(g[2], words, hashes) for g in group], np.array([g[1] for g in group]), share)
+        x, y = linked(shingles_of([g[2] for g in group], words), np.array([g[1] for g in group]), share)
         if not len(x):
             return None
         nodes, low = roots(ids[x], ids[y])
         return pa.RecordBatch.from_arrays([pa.array(nodes[nodes != low]), pa.array(low[nodes != low])], names=["a", "b"])
 
     def verify(batches):
-        flush.hashes = Hashes()
         group, key = [], None
         for b in batches:
             for g, low, high, side, i, t in zip(*(b.column(c).to_pylist() for c in ("grp", "low", "high", "side", "doc_id", "text"))):
