@@ -16,15 +16,15 @@ SAME: dict[str, str] = {
     "ext_anti_join": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "ext_region_pairs": "SELECT a.r_name AS a, b.r_name AS b FROM region a CROSS JOIN region b WHERE a.r_regionkey < b.r_regionkey",
     "ext_range_join": "SELECT p_partkey, band FROM part JOIN (SELECT 0 AS band, 0 AS lo, 15 AS hi UNION ALL SELECT 1, 15, 35 UNION ALL SELECT 2, 35, 100) b ON p_size >= lo AND p_size < hi",
-    "ext_group": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(CAST(l_quantity AS DECIMAL(18,2))), 2) AS qty, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem GROUP BY l_returnflag, l_linestatus",
+    "ext_group": "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS qty, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem GROUP BY l_returnflag, l_linestatus",
     "ext_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "ext_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
     "ext_grouping_sets": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
     "ext_having": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12",
     "ext_distinct": "SELECT DISTINCT p_brand, p_type FROM part",
     "ext_count_distinct": "SELECT l_returnflag, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_returnflag",
-    "ext_rank": "SELECT o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS d FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)",
-    "ext_ntile": "SELECT s_suppkey, ntile(4) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS q FROM supplier",
+    "ext_rank": "SELECT o_orderkey, CAST(rank() OVER w AS BIGINT) AS r, CAST(dense_rank() OVER w AS BIGINT) AS d FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)",
+    "ext_ntile": "SELECT s_suppkey, CAST(ntile(4) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS BIGINT) AS q FROM supplier",
     "ext_lag_lead": "SELECT event_id, lag(value, 1) OVER w AS a, lead(value, 2, 0e0) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
     "ext_frames": "SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING) AS m, count(*) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 500 PRECEDING AND CURRENT ROW) AS n FROM events",
     "ext_first_last": "SELECT event_id, first_value(event_type) OVER w AS f, last_value(event_type) OVER w AS l, nth_value(event_type, 2) OVER w AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
@@ -36,17 +36,17 @@ SAME: dict[str, str] = {
     "ext_top_k": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
     "ext_top_k_per_group": "SELECT l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rn FROM lineitem) x WHERE rn <= 3",
     "ext_paging": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 100",
-    "ext_strings": "SELECT p_partkey, upper(p_name) AS u, length(p_name) AS n, substring(p_name, 2, 4) AS s, replace(p_brand, '#', '-') AS b, trim(concat(' ', p_type, ' ')) AS t, lpad(CAST(p_size AS STRING), 4, '0') AS z FROM part",
-    "ext_math": "SELECT l_orderkey, l_linenumber, round(sqrt(l_extendedprice), 6) AS r, abs(l_quantity - 25) AS a, floor(l_quantity / 7) AS f, l_partkey % 17 AS m FROM lineitem WHERE l_orderkey < 2000",
+    "ext_strings": "SELECT p_partkey, upper(p_name) AS u, CAST(length(p_name) AS BIGINT) AS n, substring(p_name, 2, 4) AS s, replace(p_brand, '#', '-') AS b, trim(concat(' ', p_type, ' ')) AS t, lpad(CAST(p_size AS STRING), 4, '0') AS z FROM part",
+    "ext_math": "SELECT l_orderkey, l_linenumber, round(sqrt(l_extendedprice), 6) AS r, abs(l_quantity - 25) AS a, CAST(floor(l_quantity / 7) AS DOUBLE) AS f, l_partkey % 17 AS m FROM lineitem WHERE l_orderkey < 2000",
     "ext_case": "SELECT o_orderkey, CASE WHEN o_totalprice < 50000 THEN 'low' WHEN o_totalprice < 200000 THEN 'mid' ELSE 'high' END AS band, coalesce(nullif(o_orderstatus, 'P'), '?') AS s FROM orders",
-    "ext_dates": "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders",
+    "ext_dates": "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(day(o_orderdate) AS BIGINT) AS d FROM orders",
     "ext_scalar_subquery": "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT 2 * avg(o_totalprice) FROM orders)",
     "ext_correlated_subquery": "SELECT l_orderkey, l_linenumber FROM lineitem l WHERE l_quantity > (SELECT 1.9 * avg(l_quantity) FROM lineitem i WHERE i.l_partkey = l.l_partkey)",
     "ext_in_subquery": "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)",
-    "ext_cte": "WITH big AS (SELECT o_custkey, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS t FROM orders GROUP BY o_custkey) SELECT c_name, t FROM big JOIN customer ON c_custkey = o_custkey WHERE t > 2000000",
-    "ext_star": "SELECT n_name, count(*) AS n, sum(CAST(round(l_extendedprice * (1 - l_discount), 4) AS DECIMAL(28,4))) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY n_name",
-    "ext_conditional_aggregate": "SELECT user_id, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS clicks, max(CASE WHEN event_type = 'purchase' THEN event_id END) AS last_purchase FROM events GROUP BY user_id",
-    "ext_turns": "SELECT conv_id, count(*) AS n, max(turn) AS last_turn, sum(length(text)) AS n_chars FROM conversations GROUP BY conv_id",
+    "ext_cte": "WITH big AS (SELECT o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS t FROM orders GROUP BY o_custkey) SELECT c_name, t FROM big JOIN customer ON c_custkey = o_custkey WHERE t > 2000000",
+    "ext_star": "SELECT n_name, count(*) AS n, CAST(sum(CAST(round(l_extendedprice * (1 - l_discount), 4) AS DECIMAL(28,4))) AS DOUBLE) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY n_name",
+    "ext_conditional_aggregate": "SELECT user_id, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS clicks, max(CASE WHEN event_type = 'purchase' THEN event_id END) AS last_purchase FROM events GROUP BY user_id",
+    "ext_turns": "SELECT conv_id, count(*) AS n, max(turn) AS last_turn, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY conv_id",
 }
 #: Name, the SQL for Spark and that for DuckDB.
 OWN: dict[str, tuple[str, str]] = {
