@@ -27,6 +27,7 @@ doc_id comes after all others.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -47,8 +48,6 @@ HOT_LEAST, HOT_SHARE = 20_000, 2000
 PIECE = 1 << 20
 #: Anchors and contexts a task holds before it sends them on.
 HELD_ANCHORS, HELD_CONTEXTS = 400_000, 50_000
-#: Buckets of a shuffle partition: several, so that partitions come out even.
-BUCKETS = 8
 PLACE = np.uint64((1 << 24) - 1)
 TABLE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
 ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D)]
@@ -69,6 +68,15 @@ def parts_of(spark) -> int:
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def even(rows: DataFrame, buckets: int) -> DataFrame:
+    """One partition for each bucket: each goes by a number that hash partitioning sends to a partition of its own."""
+    at = F.pmod(F.hash(F.col("id").cast("int")), F.lit(buckets))
+    found = rows.sparkSession.range(64 * buckets).groupBy(at.alias("p")).agg(F.min("id").alias("id")).collect()
+    numbers = dict(zip(range(buckets), range(buckets))) | {r["p"]: r["id"] for r in found}
+    table = F.from_json(F.lit(json.dumps([numbers[b] for b in range(buckets)])), "array<int>")
+    return rows.withColumn("_to", F.element_at(table, F.col("bucket") + 1)).repartition(buckets, "_to").drop("_to")
+
+
 def pack(columns) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(len(columns[0]).to_bytes(8, "little") + b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
 
@@ -309,14 +317,14 @@ def repeated(found: DataFrame, buckets: int) -> DataFrame:
         at = order[later]
         yield from marks(d[at], c[at], s[at], s[at] + WINDOW, buckets)
 
-    return found.repartition(parts_of(found.sparkSession), "bucket").mapInArrow(tidied(work), ROW)
+    return even(found, buckets).mapInArrow(tidied(work), ROW)
 
 
 def with_blobs(docs: DataFrame, blobs: DataFrame, buckets: int) -> DataFrame:
     """Each bucket's blobs, then its documents, in one partition."""
     rows = docs.withColumn("bucket", doc_bucket_column(buckets)).withColumn("kind", F.lit(None).cast("int")).withColumn("blob", F.lit(None).cast("binary"))
     both = rows.unionByName(blobs, allowMissingColumns=True)
-    return both.repartition(parts_of(docs.sparkSession), "bucket").sortWithinPartitions("bucket", F.desc_nulls_last("kind"))
+    return even(both, buckets).sortWithinPartitions("bucket", F.desc_nulls_last("kind"))
 
 
 class Held:
@@ -528,7 +536,7 @@ def compare_contexts(found: DataFrame, buckets: int) -> DataFrame:
             if len(i):
                 yield from marks(d[o][i], c[o][i], start, end, buckets)
 
-    return found.repartition(parts_of(found.sparkSession), "bucket").mapInArrow(tidied(work), ROW)
+    return even(found, buckets).mapInArrow(tidied(work), ROW)
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -544,7 +552,7 @@ def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 def dedupe(docs: DataFrame) -> DataFrame:
     """docs with ``_kept`` (remaining bytes), ``_removed`` (bytes cut) and ``_spans`` (maximal runs cut)."""
     spark = docs.sparkSession
-    buckets = BUCKETS * parts_of(spark)
+    buckets = parts_of(spark)
     own = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)))
     small = own.select("_doc", "text")
     first = written(repeated(find_anchors(small, hot_anchors(small), buckets), buckets), "anchors")
