@@ -1,6 +1,7 @@
 import pytest
 
-from tidelog.operators.placement import select_ensemble
+from tidelog.errors import NotEnoughUnits
+from tidelog.operators.placement import find_replacement, select_ensemble
 
 UNITS = "pos long, address string, zone string, status string, cpu double, mem double, disk double"
 
@@ -45,3 +46,13 @@ def test_zones_with_kept_units_come_later(spark):
 def test_too_few_units(spark):
     assert choose(spark, [("a", "z", "WRITABLE", COLD)], 2) == []
     assert choose(spark, [("a", "z", "WRITABLE", COLD), ("b", "z", "WRITABLE", COLD)], 2, exclude=["b"]) == []
+
+
+def test_replacement_forgives_the_oldest(spark):
+    rows = [(i, f"u{i}", f"z{i}", "WRITABLE", *COLD) for i in range(4)]
+    listing = lambda: spark.createDataFrame(rows, UNITS)
+    assert find_replacement(listing, ["u0"], ["u1", "u2"], 2) == (["u0", "u3"], ["u1", "u2"])
+    found, left = find_replacement(listing, ["u0"], ["u1", "u2"], 3)
+    assert sorted(found) == ["u0", "u1", "u3"] and left == ["u2"]
+    with pytest.raises(NotEnoughUnits):
+        find_replacement(listing, [], [], 5, tries=2, wait=0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..functions import codec
-from ..operators import commit, integrity, metrics, placement, reads, retention, scan, writes
+from ..operators import commit, integrity, metrics, model, placement, reads, retention, scan, writes
 from ..streaming import batches
 from . import extensions, views
 from .views import sql
@@ -261,6 +261,66 @@ def acked_subset_sent(spark, d):
     return integrity.not_sent(views.acked(spark, d), views.log(spark, d).where("off % 53 <> 0"))
 
 
+COPIES = "SELECT timeline_id, off, u, payload FROM log CROSS JOIN (SELECT unnest([1::BIGINT, 2, 3]) AS u) WHERE (off + u) % 23 <> 0"
+MARKS = "SELECT timeline_id, min(lra) AS lra FROM replicas GROUP BY 1"
+
+
+def copies(spark, d):
+    """What three units hold of the log: each lacks some offsets."""
+    units = F.explode(F.array(*[F.lit(u).cast("bigint") for u in (1, 2, 3)]))
+    return views.log(spark, d).select("timeline_id", "off", units.alias("u"), "payload").where("(off + u) % 23 <> 0")
+
+
+def marks(spark, d):
+    return commit.commit_watermark(views.replicas(spark, d)).withColumnRenamed("watermark", "lra")
+
+
+def ensembles(spark, d):
+    two = F.array(F.lit(1), (F.col("start_offset") % 2 + 2)).cast("array<bigint>")
+    return views.segs(spark, d).withColumn("ensemble", two)
+
+
+@registered(sql("SELECT timeline_id, off, count(DISTINCT u) AS n_units FROM copies JOIN marks USING (timeline_id) WHERE off <= lra GROUP BY 1, 2 HAVING n_units < 3", "log", "replicas", copies=COPIES, marks=MARKS))
+def model_under_replicated(spark, d):
+    return model.under_replicated(copies(spark, d), views.log(spark, d), marks(spark, d), 3)
+
+
+@registered(
+    sql(
+        "SELECT timeline_id, off, u FROM (SELECT l.timeline_id, off, unnest([1, start_offset % 2 + 2]) AS u FROM (" + ROUTED + ") l JOIN marks m ON l.timeline_id = m.timeline_id WHERE off <= lra) x ANTI JOIN copies c USING (timeline_id, off, u)",
+        "log", "segs", "replicas", copies=COPIES, marks=MARKS,
+    )
+)
+def model_lost(spark, d):
+    return model.lost(copies(spark, d), views.log(spark, d), ensembles(spark, d), marks(spark, d))
+
+
+@registered(sql("SELECT c.timeline_id, off, count(DISTINCT CASE WHEN (off + u) % 20 = 0 THEN concat(payload, u) ELSE payload END) AS n_payloads FROM copies c JOIN marks m ON c.timeline_id = m.timeline_id WHERE off <= lra AND u IN (1, 3) GROUP BY 1, 2 HAVING n_payloads > 1", "log", "replicas", copies=COPIES, marks=MARKS))
+def model_divergence(spark, d):
+    altered = F.when((F.col("off") + F.col("u")) % 20 == 0, F.concat("payload", F.col("u").cast("string"))).otherwise(F.col("payload"))
+    return model.diverging(copies(spark, d).withColumn("payload", altered), ensembles(spark, d), marks(spark, d))
+
+
+@registered(sql("SELECT DISTINCT c.timeline_id, u FROM copies c JOIN marks m ON c.timeline_id = m.timeline_id JOIN (SELECT timeline_id, max(start_offset) AS s FROM segs GROUP BY 1) g ON c.timeline_id = g.timeline_id WHERE off <= lra AND off >= s AND (timeline_id + u) % 3 <> 0".replace("(timeline_id + u)", "(c.timeline_id + u)"), "log", "segs", "replicas", copies=COPIES, marks=MARKS))
+def model_pinned(spark, d):
+    return model.pinned(copies(spark, d).where("(timeline_id + u) % 3 <> 0"), reads.last_segment(views.segs(spark, d)), marks(spark, d))
+
+
+@registered(sql("SELECT timeline_id, off, lra FROM log JOIN marks USING (timeline_id) WHERE off > lra + 1", "log", "replicas", marks=MARKS))
+def model_flow(spark, d):
+    return model.beyond_window(views.log(spark, d), marks(spark, d))
+
+
+@registered(sql("SELECT timeline_id, off, u FROM copies JOIN marks USING (timeline_id) WHERE off > lra", "log", "replicas", copies=COPIES, marks=MARKS))
+def reconcile_dirty_tail(spark, d):
+    return model.dirty_tail(copies(spark, d), views.replicas(spark, d))
+
+
+@registered(sql("SELECT DISTINCT timeline_id, off, payload FROM copies JOIN marks USING (timeline_id) WHERE off <= lra", "log", "replicas", copies=COPIES, marks=MARKS))
+def reconcile_aligned(spark, d):
+    return model.aligned(copies(spark, d), views.replicas(spark, d))
+
+
 @registered(sql("SELECT timeline_id, k, max(off) AS off, arg_max(payload, off) AS payload FROM log GROUP BY 1, 2", "log"))
 def latest_per_key(spark, d):
     return retention.latest_per_key(views.log(spark, d))
