@@ -100,7 +100,9 @@ def test_suffix_dedup(docs, fixture_rows, monkeypatch, hot):
 
 
 def test_suffix_dedup_keeps_columns(docs, none):
-    assert suffix_dedup.dedupe(docs).columns == [*docs.columns, "_kept", "_removed", "_spans"]
+    got = suffix_dedup.dedupe(docs)
+    assert got.columns == [*docs.columns, "_kept", "_removed", "_spans"]
+    assert sorted(map(str, got.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
     assert suffix_dedup.op5(none).count() == 0
 
 

@@ -553,13 +553,14 @@ def dedupe(docs: DataFrame) -> DataFrame:
     """docs with ``_kept`` (remaining bytes), ``_removed`` (bytes cut) and ``_spans`` (maximal runs cut)."""
     spark = docs.sparkSession
     buckets = parts_of(spark)
-    own = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)))
+    own = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_doc"), "text")
     small = own.select("_doc", "text")
     first = written(repeated(find_anchors(small, hot_anchors(small), buckets), buckets), "anchors")
     asked = fetch_contexts(with_blobs(small, first.where(F.col("kind") == REQUESTS), buckets), buckets)
     second = written(compare_contexts(asked, buckets), "marks")
     every = first.where(F.col("kind") == MARKS).unionByName(second)
-    rows = with_blobs(own.select(F.struct(*docs.columns).alias("_row"), "_doc", "text"), every, buckets)
+    rows = with_blobs(own, every, buckets)
+    result_type = own.select("_row").schema.add("_kept", "binary").add("_removed", "long").add("_spans", "long")
     schema = pa.schema([("_kept", pa.binary()), ("_removed", pa.int64()), ("_spans", pa.int64())])
 
     def cut(batches):
@@ -581,9 +582,7 @@ def dedupe(docs: DataFrame) -> DataFrame:
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*out), schema)]
                 yield pa.RecordBatch.from_arrays([row, *columns], names=["_row", "_kept", "_removed", "_spans"])
 
-    result = rows.select("bucket", "kind", "blob", "_doc", "text", "_row").mapInArrow(
-        tidied(cut), f"_row {own.select(F.struct(*docs.columns).alias('_row')).schema['_row'].dataType.simpleString()}, _kept binary, _removed long, _spans long"
-    )
+    result = rows.select("bucket", "kind", "blob", "_doc", "text", "_row").mapInArrow(tidied(cut), result_type)
     return result.select("_row.*", "_kept", "_removed", "_spans")
 
 
