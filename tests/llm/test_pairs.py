@@ -32,15 +32,19 @@ def components(rows, k, share):
             if share[1] * len(s & t) >= share[0] * len(s | t):
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
-    return sorted(((i, len(s), None if i is None else find(i)) for i, s in sets), key=str)
+    links = lambda s: sum(bool(t) and share[1] * len(s & t) >= share[0] * len(s | t) for _, t in known) - 1 if s else 0
+    return sorted(((i, len(s), None if i is None else find(i), None if i is None else links(s)) for i, s in sets), key=str)
+
+
+def rows_of(frame):
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in frame.collect()), key=str)
 
 
 @pytest.mark.parametrize(("k", "share", "long_list"), [(4, (85, 100), 4096), (5, (80, 100), 2), (2, (60, 100), 4096)])
 def test_set_join(spark, docs, fixture_rows, monkeypatch, k, share, long_list):
     monkeypatch.setattr(set_join, "LONG_LIST", long_list)
     monkeypatch.setattr(set_join, "BLOCK", 300 if long_list == 2 else set_join.BLOCK)
-    got = set_join.join(docs, k, share).collect()
-    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == components(fixture_rows, k, share)
+    assert rows_of(set_join.join(docs, k, share)) == components(fixture_rows, k, share)
 
 
 def test_set_join_of_nothing(none):
@@ -53,12 +57,11 @@ def test_light_sets_meet_by_subsets(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     share = (70, 100)
     assert set_join.boundary({n: 1000 for n in range(1, 4)}, share) >= 3
-    got = set_join.join(frame, 1, share).collect()
-    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == components(rows, 1, share)
+    assert rows_of(set_join.join(frame, 1, share)) == components(rows, 1, share)
 
 
 def test_representatives(spark, docs, fixture_rows):
-    expected = {i for i, _, c in components(fixture_rows, 5, (80, 100)) if i is not None and i == c}
+    expected = {i for i, _, c, _ in components(fixture_rows, 5, (80, 100)) if i is not None and i == c}
     got = set_join.representatives(docs.union(docs.where("doc_id = 100")))
     assert got.columns == docs.columns
     assert {r["doc_id"] for r in got.collect() if r["doc_id"] is not None} == expected

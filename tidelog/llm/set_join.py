@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import row_parts, tidied, written
-from .graph import components, roots
+from .graph import components
 
 #: Counters that stand for the frequency of shingles: 16 MB, whatever the input; summed in so many parts.
 COUNTER_BITS, COUNTER_PARTS = 22, 64
@@ -341,8 +341,9 @@ def neighbours(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Ite
         yield stars(*held)
 
 
-def linked(sets: list[np.ndarray], own: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that connect what links, found by scanning inverted lists. own: 0 or 1 for each set's block; with two blocks only pairs across are looked at."""
+def linked(sets: list[np.ndarray], own: np.ndarray, copies: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """For each set the index of one it hangs together with, the same for all of them, and how many rows it links with, found by scanning
+    inverted lists. own: 0 or 1 for each set's block; with two blocks only links across count. copies: rows that each set stands for."""
     size = np.array([len(s) for s in sets])
     _, token = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), size)
@@ -351,7 +352,7 @@ def linked(sets: list[np.ndarray], own: np.ndarray, share: tuple[int, int]) -> t
     starts = np.concatenate([[0], ends[:-1]])
     at = np.concatenate([[0], np.cumsum(size)])
     two = bool(own.any() and not own.all())
-    a, b = [], []
+    label, links = np.arange(len(sets)), np.zeros(len(sets), np.int64)
     for i in range(len(sets)):
         if two and own[i]:
             continue
@@ -361,50 +362,54 @@ def linked(sets: list[np.ndarray], own: np.ndarray, share: tuple[int, int]) -> t
         ok &= own == 1 if two else np.arange(len(sets)) > i
         hit = np.flatnonzero(ok)
         if len(hit):
-            a.append(np.full(len(hit), i))
-            b.append(hit)
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
+            links[i] += copies[hit].sum()
+            links[hit] += copies[i]
+            joined = np.unique(np.append(label[hit], label[i]))
+            if len(joined) > 1:
+                label[np.isin(label, joined)] = joined[0]
+    return label, links
 
 
 def verified(grouped: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
-    """Rows (grp, low, high, side, doc_id, text), sorted by group in each partition, into stars (a, b) of what really links."""
+    """Rows (grp, low, high, side, doc_id, copies, text), sorted by group in each partition, into rows (a, b, n): a hangs together with b and links with n rows."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def flush(group):
-        ids = np.array([g[0] for g in group])
-        x, y = linked(shingles_of([g[2] for g in group], words), np.array([g[1] for g in group]), share)
-        if not len(x):
-            return None
-        nodes, low = roots(ids[x], ids[y])
-        return pa.RecordBatch.from_arrays([pa.array(nodes[nodes != low]), pa.array(low[nodes != low])], names=["a", "b"])
+        ids = np.array([g[0] for g in group], np.int64)
+        label, links = linked(shingles_of([g[3] for g in group], words), np.array([g[1] for g in group]), np.array([g[2] for g in group]), share)
+        low = np.full(len(ids), 2**63 - 1)
+        np.minimum.at(low, label, ids)
+        use = links > 0
+        return pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array(low[label][use]), pa.array(links[use])], schema=schema)
 
     def verify(batches):
         group, key = [], None
         for b in batches:
-            for g, low, high, side, i, t in zip(*(b.column(c).to_pylist() for c in ("grp", "low", "high", "side", "doc_id", "text"))):
+            for g, low, high, *row in zip(*(b.column(c).to_pylist() for c in ("grp", "low", "high", "doc_id", "side", "copies", "text"))):
                 if (g, low, high) != key:
-                    if len(group) > 1 and (out := flush(group)) is not None:
-                        yield out
+                    if len(group) > 1:
+                        yield flush(group)
                     group, key = [], (g, low, high)
-                group.append((i, side, t))
-        if len(group) > 1 and (out := flush(group)) is not None:
-            yield out
+                group.append(row)
+        if len(group) > 1:
+            yield flush(group)
 
-    return grouped.mapInArrow(tidied(verify), "a long, b long")
+    return grouped.mapInArrow(tidied(verify), "a long, b long, n long")
 
 
 def join(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of documents (doc_id, text)."""
+    """(doc_id, n_shingles, component_id, n_links) of each row of documents (doc_id, text); n_links counts rows, copies among them."""
     rows = written(set_table(docs, words, share), "sets")
     known = rows.where("sig IS NOT NULL AND doc_id IS NOT NULL")
-    classes = known.groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    reps = known.join(classes.select(F.col("rep").alias("doc_id"), F.col("sig").alias("own")), "doc_id").where("sig = own").drop("own")
+    classes = known.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    reps = known.join(classes.select(F.col("rep").alias("doc_id"), F.col("sig").alias("own"), "copies"), "doc_id").where("sig = own").drop("own")
     reps = reps.dropDuplicates(["doc_id", "sig"])
     histogram = {r["n_shingles"]: r["count"] for r in reps.where(F.col("n_shingles") <= 2 * LARGEST_LIGHT).groupBy("n_shingles").count().collect()}
     light = boundary(histogram, share)
     groups = written(components(met(reps, share, light)).withColumnRenamed("id", "doc_id"), "groups")
 
     # Blocks of bounded size in each group; most groups have one.
-    sized = groups.join(reps.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id")
+    sized = groups.join(reps.groupBy("doc_id").agg(F.max("n_shingles").alias("n"), F.max("copies").alias("copies")), "doc_id")
     running = F.sum("n").over(W.partitionBy("component").orderBy("n", "doc_id").rowsBetween(W.unboundedPreceding, -1))
     blocks = written(sized.withColumn("block", F.coalesce(F.floor(running / BLOCK), F.lit(0)).cast("int")), "blocks")
     spans = blocks.groupBy("component", "block").agg(F.min("n").alias("low_n"), F.max("n").alias("high_n"))
@@ -414,20 +419,24 @@ def join(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100)) ->
         F.struct(F.col("block").alias("block"), F.col("block").alias("low"), F.col("with").alias("high"), F.lit(0).alias("side")),
         F.struct(F.col("with").alias("block"), F.col("block").alias("low"), F.col("with").alias("high"), F.lit(1).alias("side")),
     )).alias("p")).select("component", "p.*").where("side = 0 OR low <> high")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(blocks.select("doc_id", "component", "block"), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(blocks.select("doc_id", "component", "block", "copies"), "doc_id")
     grouped = (
         texts.join(pairs, ["component", "block"]).withColumnRenamed("component", "grp")
         .repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high", "side", "doc_id")
-        .select("grp", "low", "high", "side", "doc_id", "text")
+        .select("grp", "low", "high", "side", "doc_id", "copies", "text")
     )
     found = written(verified(grouped, words, share), "links")
     several = blocks.where("block > 0").limit(1).count() > 0
     label = components(found) if several else found.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    named = classes.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
-    return (
-        rows.join(named.withColumnRenamed("sig", "_sig"), F.col("sig") == F.col("_sig"), "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    named = (
+        classes.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").join(links, "rep", "left")
+        .select(F.col("sig").alias("_sig"), F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
+    known_id = F.col("doc_id").isNotNull()
+    return rows.join(named, F.col("sig") == F.col("_sig"), "left").select(
+        "doc_id", "n_shingles", F.when(known_id, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(known_id, F.coalesce("n_links", F.lit(0))).alias("n_links")
+    )
 
 
 def op2(docs: DataFrame) -> DataFrame:
