@@ -59,6 +59,19 @@ def test_timelines_and_segments(catalog):
     assert catalog.list_segments("a") == [] and [t["name"] for t in catalog.list_timelines()] == ["b"]
 
 
+def test_segments_as_a_stream(spark, catalog, tmp_path):
+    def starts():
+        rows = catalog.subscribe_segments("a").select("start_offset")
+        rows.writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).format("parquet").start(f"{tmp_path}/out").awaitTermination()
+        return sorted(r["start_offset"] for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    catalog.put_segment("a", 1, ["u1"])
+    catalog.put_segment("b", 7, ["u1"])
+    assert starts() == [1]
+    catalog.put_segment("a", 21, ["u2"])
+    assert starts() == [1, 21]
+
+
 def test_timeline_log(spark, catalog, tmp_path):
     root = f"file://{tmp_path}/data"
     t = Timeline(catalog, root, "t")
