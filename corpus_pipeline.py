@@ -39,7 +39,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def whole_characters(column: str) -> F.Column:
-    """The valid UTF-8 in bytes, without the stumps of characters that were cut in part."""
+    """The valid UTF-8 in bytes, without the stumps of characters that were cut in part (nor U+FFFD, which stands for those)."""
     return F.replace(F.make_valid_utf8(F.col(column).cast("string")), F.lit("�"), F.lit(""))
 
 
