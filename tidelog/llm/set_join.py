@@ -47,6 +47,8 @@ LONG_LIST = 4096
 BLOCK = 1_500_000
 #: Bytes of text whose words are hashed at once.
 PIECE = 1 << 20
+#: Classes of copies that can each be more than one row in so many.
+HOT_CLASSES = 1000
 #: Sizes for which enumeration is weighed at all; beyond, subsets grow too fast.
 LARGEST_LIGHT = 24
 #: Cost of a list entry in units of a subset: it is sorted, and its group verified.
@@ -431,10 +433,14 @@ def join(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100)) ->
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     named = (
         classes.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").join(links, "rep", "left")
-        .select(F.col("sig").alias("_sig"), F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .select(F.col("sig").alias("_sig"), "copies", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
+    # The rows of a class of copies that is a large share of all find its result in a broadcast; there are HOT_CLASSES of those at most.
+    least = known.count() // HOT_CLASSES + 1
+    large = rows.join(F.broadcast(named.where(F.col("copies") >= least)), F.col("sig") == F.col("_sig"), "left")
+    others = large.where("_sig IS NULL").select("doc_id", "n_shingles", "sig").join(named.where(F.col("copies") < least), F.col("sig") == F.col("_sig"), "left")
     known_id = F.col("doc_id").isNotNull()
-    return rows.join(named, F.col("sig") == F.col("_sig"), "left").select(
+    return large.where("_sig IS NOT NULL").select("doc_id", "n_shingles", "component_id", "n_links").unionByName(others.select("doc_id", "n_shingles", "component_id", "n_links")).select(
         "doc_id", "n_shingles", F.when(known_id, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(known_id, F.coalesce("n_links", F.lit(0))).alias("n_links")
     )
 
