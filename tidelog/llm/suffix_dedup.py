@@ -559,7 +559,7 @@ def dedupe(docs: DataFrame) -> DataFrame:
     asked = fetch_contexts(with_blobs(small, first.where(F.col("kind") == REQUESTS), buckets), buckets)
     second = written(compare_contexts(asked, buckets), "marks")
     every = first.where(F.col("kind") == MARKS).unionByName(second)
-    rows = with_blobs(own, every, buckets)
+    rows = with_blobs(own.drop("text"), every, buckets)
     result_type = own.select("_row").schema.add("_kept", "binary").add("_removed", "long").add("_spans", "long")
     schema = pa.schema([("_kept", pa.binary()), ("_removed", pa.int64()), ("_spans", pa.int64())])
 
@@ -567,11 +567,12 @@ def dedupe(docs: DataFrame) -> DataFrame:
         held = Held(MARKS, 0)
         for b in batches:
             use, out = [], []
-            for i, (bucket, kind, blob, doc, text) in enumerate(zip(*(b.column(c) for c in ("bucket", "kind", "blob", "_doc", "text")))):
+            texts = b.column("_row").field("text")
+            for i, (bucket, kind, blob, doc) in enumerate(zip(*(b.column(c) for c in ("bucket", "kind", "blob", "_doc")))):
                 if kind.is_valid:
                     held.add(bucket.as_py(), blob.as_py())
                     continue
-                data = (text.as_py() or "").encode()
+                data = (texts[i].as_py() or "").encode()
                 got = held.of(bucket.as_py(), doc.as_py(), zlib.crc32(data))
                 spans = merged(*got) if got else []
                 kept = b"".join(data[e:s] for e, s in zip([0] + [e for _, e in spans], [s for s, _ in spans] + [len(data)]))
@@ -582,7 +583,7 @@ def dedupe(docs: DataFrame) -> DataFrame:
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*out), schema)]
                 yield pa.RecordBatch.from_arrays([row, *columns], names=["_row", "_kept", "_removed", "_spans"])
 
-    result = rows.select("bucket", "kind", "blob", "_doc", "text", "_row").mapInArrow(tidied(cut), result_type)
+    result = rows.select("bucket", "kind", "blob", "_doc", "_row").mapInArrow(tidied(cut), result_type)
     return result.select("_row.*", "_kept", "_removed", "_spans")
 
 
