@@ -41,7 +41,7 @@ from .common import row_parts, tidied, written
 CHUNK = 1 << 15
 #: Stands for a blank in models' pieces.
 MARK = "▁"
-MOST_FRAGMENTS, LONG_FRAGMENT = 400_000, 48
+MOST_FRAGMENTS, LONG_FRAGMENT = 600_000, 48
 START = -1
 #: Model types that the lattice covers.
 UNIGRAM, BPE = 1, 2
@@ -130,9 +130,9 @@ class Pieces:
             return np.array(self.sp.encode("\n" + fragment)[2:], np.int32).tobytes()
         return np.array(self.tokens_to_ids(self.trace(fragment, 0, len(fragment), (0, START), (0, START))), np.int32).tobytes()
 
-    def remember(self, fragments: list[str]) -> None:
+    def remember(self, fragments: set[str]) -> None:
         """Encodes new fragments in few calls, each behind a line feed, which no piece joins and no blank is put behind."""
-        new = [f for f in set(fragments).difference(self.known) if len(f) <= LONG_FRAGMENT and f != "\n"] if self.feed else []
+        new = [f for f in fragments.difference(self.known) if len(f) <= LONG_FRAGMENT and f != "\n"] if self.feed else []
         new = new[: MOST_FRAGMENTS // 2]
         self.known.make_room(len(new))
         if new:
@@ -144,7 +144,7 @@ class Pieces:
     def encode_all(self, marked: list[str]) -> list[bytes]:
         """encode() of many texts, whose new fragments are encoded together."""
         cut = [self.fragments.findall(t) for t in marked]
-        self.remember([f for fragments in cut for f in fragments])
+        self.remember(set().union(*cut))
         return [b"".join(map(self.known.__getitem__, fragments)) for fragments in cut]
 
     def encode(self, marked: str) -> bytes:
