@@ -229,3 +229,48 @@ def test_likeness_falls_with_edits(spark):
     rows = [(i, text) for i in range(3)] + [(10, other), (11, text[::-1]), (12, None), (None, text)]
     pairs = edit_embedding.near_pairs(edit_embedding.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")), least=0.3).collect()
     assert sorted((r["doc_id"], r["other_id"]) for r in pairs) == [(1, 0), (2, 0), (10, 0)]
+
+
+def near_texts(rng, n, least, most):
+    """n texts, one in four of them an earlier one with one or two characters replaced."""
+    texts = []
+    while len(texts) < n:
+        if texts and rng.random() < 0.25:
+            x = list(rng.choice(texts))
+            for _ in range(rng.randrange(1, 3)):
+                x[rng.randrange(len(x))] = rng.choice("#$%&")
+            texts.append("".join(x))
+        else:
+            texts.append("".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.randrange(least, most))))
+    return texts
+
+
+def recall_of_pairs(spark, texts, least):
+    """Share of all near pairs of classes, by brute force, that near_pairs() finds; what it finds is checked."""
+    walk = edit_embedding.Walk()
+    prints = edit_embedding.fingerprints(texts, walk)
+    first = {}
+    for i, p in enumerate(prints):
+        first.setdefault(p, i)
+    ids = np.array(list(first.values()))
+    near = walk.likenesses(list(first), list(first))
+    want = {(int(max(ids[r], ids[c])), int(min(ids[r], ids[c]))): near[r, c] for r, c in zip(*np.nonzero(np.triu(near >= least, 1)))}
+    df = spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")
+    got = {(r["doc_id"], r["other_id"]): r["near"] for r in edit_embedding.near_pairs(df, least=least).collect()}
+    known = set(ids.tolist())
+    assert all(want[k] == v for k, v in got.items() if known.issuperset(k))
+    return len(want), len(want.keys() & got.keys()) / len(want)
+
+
+def test_likenesses_of_many(spark):
+    rng = random.Random(5)
+    walk = edit_embedding.Walk()
+    prints = edit_embedding.fingerprints(["", "a", "b"] + near_texts(rng, 40, 1, 900), walk)
+    assert walk.likenesses(prints, prints[::-1]).tolist() == [[walk.likeness(a, b) for b in prints[::-1]] for a in prints]
+
+
+def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch):
+    n, recall = recall_of_pairs(spark, texts := near_texts(random.Random(6), 6000, 300, 480), 0.8)
+    assert n > 500 and recall > 0.99
+    monkeypatch.setattr(edit_embedding, "BLOCK", 3)
+    assert recall_of_pairs(spark, texts[:2000], 0.8)[1] > 0.99

@@ -32,6 +32,8 @@ CLASSES, PERIOD = 256, 4096
 #: Below so many texts in step, texts are walked one at a time.
 WIDE = 96
 PART_BYTES = 8 << 20
+#: Classes of a bucket that are compared with as many others at a time.
+BLOCK = 512
 
 
 class Walk:
@@ -97,6 +99,26 @@ class Walk:
         differ = float(self.weight[:n][x != y].sum()) + (self.sums[m] - self.sums[n]) / 2
         return max(0.0, 1 - 2 * differ / float(self.sums[m]))
 
+    def likenesses(self, a: list[str], b: list[str]) -> np.ndarray:
+        """likeness() of each of a and each of b. Weights are whole numbers, so the sums are exact in any order."""
+
+        def read(prints):
+            split = [p.split(":") for p in prints]
+            n = np.searchsorted(self.at, [int(end, 16) for end, _ in split])
+            bits = np.zeros((len(prints), width := int(n.max(initial=0))))
+            for row, k, (_, held) in zip(bits, n, split):
+                row[:k] = np.unpackbits(np.frombuffer(bytes.fromhex(held), np.uint8))[:k]
+            return n, bits, (np.arange(width) < n[:, None]).astype(float)
+
+        (n, x, has_x), (m, y, has_y) = read(a), read(b)
+        width = min(x.shape[1], y.shape[1])
+        x, has_x, y, has_y = x[:, :width], has_x[:, :width], y[:, :width], has_y[:, :width]
+        w = self.weight[:width]
+        differ = np.hstack([x * w, has_x, x * (-2 * w)]) @ np.hstack([has_y, y * w, y]).T
+        less, more = self.sums[np.minimum.outer(n, m)], self.sums[np.maximum.outer(n, m)]
+        near = np.maximum(0.0, 1 - 2 * (differ + (more - less) / 2) / np.maximum(more, 1))
+        return np.where(more == 0, 1.0, near)
+
 
 def classes_of(text: str) -> np.ndarray:
     """A class from 0 to 255 for each code point; ASCII characters have classes of their own."""
@@ -194,11 +216,12 @@ def fingerprint(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, bits: int = 12, seed: int = SEED) -> DataFrame:
-    """Pairs (doc_id, other_id, near): documents linked, through class and band leaders, by bit-sampled bands, each verified by likeness.
+    """Pairs (doc_id, other_id, near), doc_id the larger: documents that meet in a bit-sampled band and whose likeness is least or more.
 
     Equal fingerprints are one class: its members are paired with its smallest id, which stands
-    for them. In a band each class is compared with its bucket's smallest, so a bucket of n makes
-    n - 1 pairs, not n * (n - 1) / 2.
+    for them. In a band every two classes of a bucket are compared. Buckets are dealt into
+    blocks of about BLOCK classes, and a task compares one pair of blocks at a time, so a bucket
+    of n costs n * (n - 1) / 2 comparisons, over several tasks, and n / BLOCK copies of its rows.
     """
 
     def keys(batches):
@@ -219,21 +242,47 @@ def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, bits: int
 
     def verify(batches):
         walk = Walk(seed)
-        for b in batches:
-            yield b.append_column("near", pa.array([walk.likeness(x, y) for x, y in zip(b.column("fingerprint").to_pylist(), b.column("other").to_pylist())], pa.float64()))
+        for (_, i, j), (blocks, ids, held) in meetings(batches):
+            x, y = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
+            near = walk.likenesses([held[k] for k in x], [held[k] for k in y])
+            a, b = ids[x][:, None], ids[y][None, :]
+            good = (near >= least) & (a != b)
+            if i == j:
+                good &= a > b
+            r, c = np.nonzero(good)
+            a, b = ids[x[r]], ids[y[c]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(near[r, c])], names=["doc_id", "other_id", "near"])
 
     classes = prints.where("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "fingerprint")
     keyed = classes.mapInArrow(tidied(keys), "doc_id long, fingerprint string, key string")
-    leaders = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "fingerprint")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    found = (
-        keyed.join(leaders, "key").where("doc_id <> lead.doc_id")
-        .select("doc_id", "fingerprint", F.col("lead.doc_id").alias("other_id"), F.col("lead.fingerprint").alias("other")).distinct()
-    )
-    near = found.mapInArrow(tidied(verify), "doc_id long, fingerprint string, other_id long, other string, near double").where(F.col("near") >= least).select("doc_id", "other_id", "near")
+    dealt = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").withColumn("block", F.pmod(F.xxhash64("fingerprint"), dealt).cast("int"))
+    sides = blocks.select("*", F.explode(F.sequence(F.lit(0), dealt - 1)).alias("_other")).select("key", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "doc_id", "fingerprint")
+    met = sides.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    near = met.mapInArrow(tidied(verify), "doc_id long, other_id long, near double").groupBy("doc_id", "other_id").agg(F.max("near").alias("near"))
     same = prints.join(classes.withColumnRenamed("doc_id", "other_id"), "fingerprint").where("doc_id <> other_id")
     return near.unionByName(same.select("doc_id", "other_id", F.lit(1.0).cast("double").alias("near")))
 
 
+def meetings(batches) -> Iterator[tuple[tuple, tuple[np.ndarray, np.ndarray, list[str]]]]:
+    """Of rows sorted by (key, i, j): each such group, with its rows' blocks, ids and fingerprints."""
+    group, rows = None, []
+
+    def columns():
+        blocks, ids, held = zip(*rows)
+        return np.array(blocks), np.array(ids, np.int64), list(held)
+
+    for b in batches:
+        for *g, block, i, p in zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "block", "doc_id", "fingerprint"))):
+            if g != group:
+                if len(rows) > 1:
+                    yield tuple(group), columns()
+                group, rows = g, []
+            rows.append((block, i, p))
+    if len(rows) > 1:
+        yield tuple(group), columns()
+
+
 def op8(docs: DataFrame) -> DataFrame:
     """The digest of compare_next()."""
     return compare_next(docs)
