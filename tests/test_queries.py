@@ -30,3 +30,12 @@ def test_offset_bounds_reach_the_scan(spark, tmp_path, capsys):
     reads.range_read(spark.read.parquet(str(tmp_path / "log")), 1, 5, 9).select("off").explain("formatted")
     plan = capsys.readouterr().out
     assert "GreaterThanOrEqual(off,5), LessThan(off,9)" in plan and "ReadSchema: struct<timeline_id:int,off:bigint>" in plan
+
+
+@pytest.mark.parametrize("name, times", [("ext_math", 1), ("ext_unpivot", 2)])
+def test_all_of_lineitem_is_read(spark, name, times):
+    sf = "/root/testdata/sf0.01"
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert catalogue.queries()[name](spark, sf).count() == times * lines
+    con = duck(sf)
+    assert len(con.sql(ORACLE[name]).fetchall()) == times * lines

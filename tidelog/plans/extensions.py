@@ -37,7 +37,7 @@ SAME: dict[str, str] = {
     "ext_top_k_per_group": "SELECT l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rn FROM lineitem) x WHERE rn <= 3",
     "ext_paging": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 100",
     "ext_strings": "SELECT p_partkey, upper(p_name) AS u, CAST(length(p_name) AS BIGINT) AS n, substring(p_name, 2, 4) AS s, replace(p_brand, '#', '-') AS b, trim(concat(' ', p_type, ' ')) AS t, lpad(CAST(p_size AS STRING), 4, '0') AS z FROM part",
-    "ext_math": "SELECT l_orderkey, l_linenumber, round(sqrt(l_extendedprice), 6) AS r, abs(l_quantity - 25) AS a, CAST(floor(l_quantity / 7) AS DOUBLE) AS f, l_partkey % 17 AS m FROM lineitem WHERE l_orderkey < 2000",
+    "ext_math": "SELECT l_orderkey, l_linenumber, round(sqrt(l_extendedprice), 6) AS r, abs(l_quantity - 25) AS a, CAST(floor(l_quantity / 7) AS DOUBLE) AS f, l_partkey % 17 AS m FROM lineitem",
     "ext_case": "SELECT o_orderkey, CASE WHEN o_totalprice < 50000 THEN 'low' WHEN o_totalprice < 200000 THEN 'mid' ELSE 'high' END AS band, coalesce(nullif(o_orderstatus, 'P'), '?') AS s FROM orders",
     "ext_dates": "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(day(o_orderdate) AS BIGINT) AS d FROM orders",
     "ext_scalar_subquery": "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT 2 * avg(o_totalprice) FROM orders)",
@@ -75,8 +75,8 @@ OWN: dict[str, tuple[str, str]] = {
         "SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY 1",
     ),
     "ext_unpivot": (
-        "SELECT l_orderkey, l_linenumber, name, v FROM lineitem UNPIVOT (v FOR name IN (l_discount, l_tax)) WHERE l_orderkey < 1000",
-        "SELECT l_orderkey, l_linenumber, 'l_discount' AS name, l_discount AS v FROM lineitem WHERE l_orderkey < 1000 UNION ALL SELECT l_orderkey, l_linenumber, 'l_tax', l_tax FROM lineitem WHERE l_orderkey < 1000",
+        "SELECT l_orderkey, l_linenumber, name, v FROM lineitem UNPIVOT (v FOR name IN (l_discount, l_tax))",
+        "SELECT l_orderkey, l_linenumber, 'l_discount' AS name, l_discount AS v FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'l_tax', l_tax FROM lineitem",
     ),
     "ext_time_window": (
         "SELECT unix_millis(w.start) AS at_ms, count(*) AS n FROM (SELECT window(CAST(ts AS TIMESTAMP), '30 minutes') AS w FROM events) GROUP BY w.start",
