@@ -274,3 +274,21 @@ def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch):
     assert n > 500 and recall > 0.99
     monkeypatch.setattr(edit_embedding, "BLOCK", 3)
     assert recall_of_pairs(spark, texts[:2000], 0.8)[1] > 0.99
+
+
+def test_pairs_on_either_side_of_a_level(spark):
+    rng, walk, texts = random.Random(8), edit_embedding.Walk(), []
+    for edge in (64, 128, 1024, 4096, 8192):
+        for _ in range(6):
+            long = "".join(rng.choice("abcdefghijklmnop ") for _ in range(edge))
+            ends = walk.ends([edit_embedding.classes_of(long)], [0])[0]
+            n = int(np.searchsorted(ends, edge))  # n characters end before the edge, one more beyond it
+            texts += [long[:n], long[: n + 1]]
+    n, recall = recall_of_pairs(spark, texts, 0.8)
+    assert n >= len(texts) // 2 and recall == 1.0
+
+
+@pytest.mark.parametrize("least, most", [(1, 9), (8, 32)])
+def test_pairs_of_short_texts(spark, least, most):
+    n, recall = recall_of_pairs(spark, near_texts(random.Random(9), 3000, least, most), 0.8)
+    assert n > 300 and recall > 0.99

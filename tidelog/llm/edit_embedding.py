@@ -17,6 +17,7 @@ follow each other by a hash of the text), after the last comes the first.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -99,6 +100,21 @@ class Walk:
         differ = float(self.weight[:n][x != y].sum()) + (self.sums[m] - self.sums[n]) / 2
         return max(0.0, 1 - 2 * differ / float(self.sums[m]))
 
+    def windows(self, n: int, least: float) -> list[tuple[int, int, int]]:
+        """(level, first sample, samples) from which keys of a text of n samples are drawn.
+
+        Its own level, and each lower one whose longest texts can still have a likeness of
+        least: two texts meet at the level of the shorter one. Levels begin at every power of
+        two up to 64 samples and at each range of SAMPLES from there; a window is the whole
+        ranges below that, two at most.
+        """
+        begin = [1 << k for k in range(6)] + list(range(64, len(self.at) + 1, SAMPLES))
+        own = bisect.bisect_right(begin, n) - 1
+        return [
+            (k, low := max(0, begin[k] - 2 * SAMPLES), begin[k] - low)
+            for k in range(own, -1, -1) if k == own or self.sums[begin[k + 1] - 1] >= least * self.sums[n]
+        ]
+
     def likenesses(self, a: list[str], b: list[str]) -> np.ndarray:
         """likeness() of each of a and each of b. Weights are whole numbers, so the sums are exact in any order."""
 
@@ -219,7 +235,8 @@ def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, bits: int
     """Pairs (doc_id, other_id, near), doc_id the larger: documents that meet in a bit-sampled band and whose likeness is least or more.
 
     Equal fingerprints are one class: its members are paired with its smallest id, which stands
-    for them. In a band every two classes of a bucket are compared. Buckets are dealt into
+    for them. Keys come from samples that both texts have, at the level of the shorter one
+    (Walk.windows). In a band every two classes of a bucket are compared. Buckets are dealt into
     blocks of about BLOCK classes, and a task compares one pair of blocks at a time, so a bucket
     of n costs n * (n - 1) / 2 comparisons, over several tasks, and n / BLOCK copies of its rows.
     """
@@ -233,11 +250,10 @@ def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, bits: int
                 end, held = p.split(":")
                 n = int(np.searchsorted(walk.at, int(end, 16)))
                 got = np.unpackbits(np.frombuffer(bytes.fromhex(held), np.uint8))[:n]
-                low = max(0, n - n % SAMPLES - 2 * SAMPLES)  # the last whole ranges, the bulk of the text
-                span = max(1, n - n % SAMPLES - low)
-                for k in range(bands):
-                    at = low + (draws[k] * span).astype(int)
-                    out.append((i, p, f"{k}:{low}:" + "".join(map(str, got[at[at < n]]))))
+                for level, low, span in walk.windows(n, least):
+                    for k in range(bands):
+                        at = low + (draws[k] * span).astype(int)
+                        out.append((i, p, f"{k}:{level}:" + "".join(map(str, got[at]))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ([], [], []), (pa.int64(), pa.string(), pa.string()))], names=["doc_id", "fingerprint", "key"])
 
     def verify(batches):
