@@ -44,9 +44,10 @@ def whole_characters(column: str) -> F.Column:
 
 
 def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item, within its edit budget."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("_leak")), "left_anti")
+    """Drops the documents that hold a benchmark item, within its edit budget; rows that only share an id with them stay."""
+    keyed = docs.select("doc_id", "text", F.sha2("text", 256).alias("_sha"))
+    found = decontaminate.contamination(keyed, table(spark, sf_dir, "benchmark"), "_sha").select(F.col("doc_id").alias("_leak"), F.col("_sha").alias("_leak_sha")).distinct()
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("_leak")) & (F.sha2(docs["text"], 256) == F.col("_leak_sha")), "left_anti")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

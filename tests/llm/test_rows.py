@@ -270,6 +270,14 @@ def test_pipeline_cuts_whole_characters(spark, monkeypatch):
     assert got[2]["text"] == "xtail" and got[2]["n_chars"] == 5 and got[1]["text"].endswith("end")
 
 
+def test_pipeline_drops_only_rows_that_leak(spark):
+    item = next(r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r["text"] or "") > 60)
+    leak = f"before {item} after"
+    rows = [(None, leak), (None, "a clean text"), (None, None), (1, leak), (1, "another clean text"), (2, leak), (3, "clean")]
+    got = corpus_pipeline.unleaked(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, "a clean text"), (None, None), (1, "another clean text"), (3, "clean")], key=str)
+
+
 ORACLE = queries.oracle_sql()
 
 

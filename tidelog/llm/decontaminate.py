@@ -149,13 +149,14 @@ def leaks(text: str, index: Index) -> list[tuple[int, int, int, int, int]]:
     return [(i, *min(places), len({(s, n) for _, s, n in places})) for i, places in found.items()]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Pairs (doc_id, item_id) with the best place of each in the normalised text."""
+def contamination(docs: DataFrame, benchmark: DataFrame, key: str | None = None) -> DataFrame:
+    """Pairs (doc_id, item_id) with the best place of each in the normalised text; with key, a string column, triples (doc_id, key, item_id)."""
+    keys = ["doc_id", *([key] if key else [])]
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL AND text <> ''")
     characters = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(2 * characters / BLOCK))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("places", pa.int32())])
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys[1:], "text")
+    schema = pa.schema([*((k, pa.string()) for k in keys[1:]), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("places", pa.int32())])
 
     def passed(block: int) -> DataFrame:
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
@@ -165,17 +166,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def search(batches):
             index = sent.value
             for part in row_parts(batches, "text", 4 << 20):
-                out = [(doc, index.ids[i], *rest) for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()) for i, *rest in leaks(normal(text), index)]
+                rows = zip(*(part.column(c).to_pylist() for c in (*keys[1:], "doc_id", "text")))
+                out = [(*row, index.ids[i], *rest) for *row, text in rows for i, *rest in leaks(normal(text), index)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-        return own.mapInArrow(tidied(search), PAIRS)
+        return own.mapInArrow(tidied(search), ", ".join([*(f"{k} string" for k in keys[1:]), PAIRS]))
 
     found = passed(0)
     for block in range(1, blocks):
         found = found.unionByName(passed(block))
     best = F.min(F.struct("distance", "start", "length", "places")).alias("best")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+    return found.groupBy(*keys, "item_id").agg(best).select(*keys, "item_id", "best.*")
 
 
 def op6(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
