@@ -32,17 +32,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out what stands in an earlier place; a character cut in part goes whole. n_chars follows the text."""
-    found = suffix_dedup.dedupe(docs)
-    text = F.when(F.col("_removed") == 0, F.col("text")).otherwise(whole_characters("_kept"))
-    columns = {"text": text} | ({"n_chars": F.when(F.col("_removed") == 0, F.col("n_chars")).otherwise(F.length(whole_characters("_kept"))).cast("long")} if "n_chars" in docs.columns else {})
+    found = suffix_dedup.dedupe(docs, whole=True)
+    kept = F.col("_kept").cast("string")
+    columns = {"text": F.when(F.col("_removed") == 0, F.col("text")).otherwise(kept)}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.when(F.col("_removed") == 0, F.col("n_chars")).otherwise(F.length(kept)).cast("long")
     return found.withColumns(columns).select(*docs.columns)
 
 
-def whole_characters(column: str) -> F.Column:
-    """The valid UTF-8 in bytes, without the stumps of characters that were cut in part (nor U+FFFD, which stands for those)."""
-    return F.replace(F.make_valid_utf8(F.col(column).cast("string")), F.lit("�"), F.lit(""))
-
-
 def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item, within its edit budget; rows that only share an id with them stay."""
     keyed = docs.select("doc_id", "text", F.sha2("text", 256).alias("_sha"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.compare import assert_same, duck
-from tidelog.llm import decontaminate, licences, packing, pieces, quality, queries, set_join, sharding, warc
+from tidelog.llm import decontaminate, licences, packing, pieces, quality, queries, set_join, sharding, suffix_dedup, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -270,6 +270,19 @@ def test_pipeline_cuts_whole_characters(spark, monkeypatch):
     assert got[2]["text"] == "xtail" and got[2]["n_chars"] == 5 and got[1]["text"].endswith("end")
 
 
+def test_pipeline_keeps_replacement_characters(spark):
+    passage = "".join(chr(0x4E00 + i) for i in range(60))  # 180 bytes
+    rows = [(1, passage), (2, "a\ufffdb" + passage + "\ufffd")]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.without_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    assert got == {1: passage, 2: "a\ufffdb\ufffd"}
+
+
+def test_runs_are_widened_to_characters():
+    data = "aé中b".encode()
+    assert suffix_dedup.widened(data, []) == [] and suffix_dedup.widened(data, [(0, 1)]) == [(0, 1)]
+    assert suffix_dedup.widened(data, [(2, 4)]) == [(1, 6)] and suffix_dedup.widened(data, [(0, 4), (5, 7)]) == [(0, 7)]
+
+
 def test_pipeline_drops_only_rows_that_leak(spark):
     item = next(r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r["text"] or "") > 60)
     leak = f"before {item} after"

@@ -549,8 +549,21 @@ def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def dedupe(docs: DataFrame) -> DataFrame:
-    """docs with ``_kept`` (remaining bytes), ``_removed`` (bytes cut) and ``_spans`` (maximal runs cut)."""
+def widened(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of UTF-8 text, each widened to the borders of the characters that it cuts in part."""
+    inside = lambda i: i < len(data) and data[i] & 0xC0 == 0x80
+    out = []
+    for s, e in spans:
+        while inside(s):
+            s -= 1
+        while inside(e):
+            e += 1
+        out.append((s, e))
+    return merged(*np.array(out, np.int64).T) if out else out
+
+
+def dedupe(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """docs with ``_kept`` (remaining bytes), ``_removed`` (bytes cut) and ``_spans`` (maximal runs cut); with whole, characters cut in part go whole."""
     spark = docs.sparkSession
     buckets = parts_of(spark)
     own = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_doc"), "text")
@@ -575,6 +588,7 @@ def dedupe(docs: DataFrame) -> DataFrame:
                 data = (texts[i].as_py() or "").encode()
                 got = held.of(bucket.as_py(), doc.as_py(), zlib.crc32(data))
                 spans = merged(*got) if got else []
+                spans = widened(data, spans) if whole else spans
                 kept = b"".join(data[e:s] for e, s in zip([0] + [e for _, e in spans], [s for s, _ in spans] + [len(data)]))
                 use.append(i)
                 out.append((kept, len(data) - len(kept), len(spans)))
