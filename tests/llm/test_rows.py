@@ -1,6 +1,7 @@
 """Packing, pieces, licenses, quality, WARC, sharding and the pipeline."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -291,6 +292,25 @@ def test_pipeline_drops_only_rows_that_leak(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(None, "a clean text"), (None, None), (1, "another clean text"), (3, "clean")], key=str)
 
 
+@pytest.mark.parametrize("fault", [lambda p: p[:-1], lambda p: b"X" + p[1:]])
+def test_warc_reader_checks_payloads(spark, tmp_path, fault):
+    payload = b"<p>some page</p>"
+    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+    def read(change):
+        whole = warc.record(1, "http://a", payload, digest, None, False)
+        data = whole if change is None else whole.replace(payload, change(payload))
+        member = gzip.compress(data)
+        (tmp_path / "f.warc.gz").write_bytes(member)
+        (tmp_path / "f.idx").write_text(f"0 {len(member)} <urn:page:1>\n")
+        files = spark.createDataFrame([(f"file://{tmp_path}/f.warc.gz", f"file://{tmp_path}/f.idx", 1)], warc.FILES)
+        return warc.read_indexed(files).collect()
+
+    assert read(None)[0]["payload_digest"] == digest
+    with pytest.raises(Exception, match="differs from its headers"):
+        read(fault)
+
+
 ORACLE = queries.oracle_sql()
 
 

@@ -15,6 +15,7 @@ smaller than any); a repeated row with that page_id is a response as well.
 from __future__ import annotations
 
 import base64
+import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -172,6 +173,10 @@ def read_indexed(files: DataFrame) -> DataFrame:
                     url = x.get("WARC-Target-URI")
                     url = url and url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
                     to = x.get("WARC-Refers-To")
+                    if x["WARC-Type"] == "response":  # a revisit holds no payload to compare
+                        digest = base64.b32encode(hashlib.sha1(x["payload"]).digest()).decode()
+                        if (len(x["payload"]), digest) != (x["length"], x["WARC-Payload-Digest"][5:]):
+                            raise ValueError(f"{x['WARC-Record-ID']} in {path}: payload of {len(x['payload'])} bytes, sha1 {digest}, differs from its headers")
                     yield number(x["WARC-Record-ID"]), x["length"], x["WARC-Payload-Digest"][5:], x["WARC-Type"], number(to) if to else None, url, x["payload"]
 
     def read(batches):
