@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import json
 import sys
 import tempfile
 import uuid
@@ -13,7 +14,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Executors need not have this repository on their path: functions travel whole.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.rpartition(".")[0]])
@@ -27,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only where none is set and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -58,6 +62,24 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def nested(docs: DataFrame) -> Column:
+    """All columns of a row as one, ``_row``: whatever their names are, they clash with none of an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
+def parts_of(spark: SparkSession) -> int:
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def even(rows: DataFrame, column: str, parts: int) -> DataFrame:
+    """rows over so many partitions by a column of whole numbers: number k goes to partition k % parts, none of which hashing leaves out."""
+    spark = rows.sparkSession
+    at = F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts))
+    found = {r["p"]: r["id"] for r in spark.range(64 * parts).groupBy(at.alias("p")).agg(F.min("id").alias("id")).collect()}
+    numbers = F.from_json(F.lit(json.dumps([found.get(p, p) for p in range(parts)])), "array<int>")
+    return rows.withColumn("_to", F.element_at(numbers, (F.pmod(F.col(column), F.lit(parts)) + 1).cast("int"))).repartition(parts, "_to").drop("_to")
+
+
 def row_parts(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches whose values of a string or binary column stay near most_bytes."""
     for batch in batches:

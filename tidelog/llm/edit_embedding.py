@@ -19,20 +19,25 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidied
+from .common import even, parts_of, tidied
 
 SAMPLES, LEVELS, SEED = 64, 40, 8
 CLASSES, PERIOD = 256, 4096
 #: Below so many texts in step, texts are walked one at a time.
 WIDE = 96
 PART_BYTES = 8 << 20
+#: Text of one range of ids, about.
+BUCKET_BYTES = 256 << 20
 #: Classes of a bucket that are compared with as many others at a time.
 BLOCK = 512
 
@@ -153,26 +158,43 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def bucket_of(key: Column, cuts: list[tuple[int, int]]) -> Column:
+    """How many cuts a key is not before, by bisection: as many steps as the logarithm of their number."""
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    last = (2**63 - 1, 2**63 - 1)
+    padded = F.from_json(F.lit(json.dumps([{"o": o, "h": h} for o, h in cuts + [last] * (sum(steps) - len(cuts))])), "array<struct<o:bigint,h:bigint>>")
+    after = lambda at, step: F.when(F.element_at(padded, at + step) <= key, at + step).otherwise(at)
+    found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), after) if steps else F.lit(0)
+    return F.least(found, F.lit(len(cuts)))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (bucket, ahead, doc_id, text) sorted in each partition; after each bucket's rows stand those its last row looks ahead to.
+    """Rows (_bucket, _ahead, doc_id, text) sorted in each partition; behind each bucket's rows stands the one its last row looks ahead to.
 
-    Buckets are ranges of ids; only as many figures as there are buckets reach the driver.
+    Buckets are ranges of (id, hash of the text), so that rows of one id are dealt as well; only rows
+    equal in both stay together. As many figures as there are buckets reach the driver; a bucket has
+    about BUCKET_BYTES of text at most, and is walked as a stream.
     """
     spark = docs.sparkSession
-    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), order.alias("_order"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = own.agg(F.percentile_approx("_order", [i / n for i in range(1, n)] or [0.5], 10_000).alias("c")).first()["c"] or []
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c > F.col("_order"))) if cuts else F.lit(0)
-    rows = own.withColumn("_bucket", bucket.cast("int"))
-    heads = sorted(((r["_bucket"], r["m"]) for r in rows.groupBy("_bucket").agg(F.max("_order").alias("m")).collect()))
-    looks = {m: heads[i - 1][0] for i, (_, m) in enumerate(heads)}  # the bucket before; before the first stands the last
-    target = F.lit(None).cast("int")
-    for m, b in looks.items():
-        target = F.when(F.col("_order") == m, F.lit(b)).otherwise(target)
-    ahead = rows.where(F.col("_order").isin(list(looks))).withColumn("_bucket", target).withColumn("_ahead", F.lit(1)) if looks else rows.limit(0).withColumn("_ahead", F.lit(1))
-    both = rows.withColumn("_ahead", F.lit(0)).unionByName(ahead)
-    return both.repartition(n, "_bucket").sortWithinPartitions("_bucket", "_ahead", F.desc("_order"), F.xxhash64("text"), "text")
+    order = F.bitwise_not(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))  # ascends as ids descend
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), order.alias("_o"))
+    rows = rows.withColumn("_h", F.xxhash64("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(parts_of(spark), math.ceil(size / BUCKET_BYTES))
+    shares = F.from_json(F.lit(json.dumps([i / n for i in range(1, n)])), "array<double>")
+    found = rows.agg(F.percentile_approx("_o", shares, max(10_000, 4 * n)).alias("c")).first()["c"] or []
+    cuts = []
+    for o, group in itertools.groupby(sorted(found)):  # an id that is several cuts is cut by hash
+        k = len(list(group))
+        cuts += [(o, -(2**63) + (j << 64) // k) for j in range(k)]
+    rows = rows.withColumn("_bucket", bucket_of(F.struct(F.col("_o").alias("o"), F.col("_h").alias("h")), cuts).cast("int"))
+    heads = sorted((r["_bucket"], r["m"]["o"], r["m"]["h"]) for r in rows.groupBy("_bucket").agg(F.min(F.struct(F.col("_o").alias("o"), F.col("_h").alias("h"))).alias("m")).collect())
+    looks = [{"o": o, "h": h, "b": heads[i - 1][0]} for i, (_, o, h) in enumerate(heads)]  # for the bucket before; the first row for the last one
+    targets = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(looks)), "array<struct<o:bigint,h:bigint,b:int>>")))
+    met = rows.join(F.broadcast(targets), (F.col("_o") == F.col("o")) & (F.col("_h") == F.col("h")))  # as many rows as buckets
+    ahead = met.groupBy("b").agg(F.min("text").alias("text"), F.min("doc_id").alias("doc_id"), F.min("_o").alias("_o"), F.min("_h").alias("_h"))
+    both = rows.withColumn("_ahead", F.lit(0)).unionByName(ahead.withColumnRenamed("b", "_bucket").withColumn("_ahead", F.lit(1)))
+    return even(both, "_bucket", n).sortWithinPartitions("_bucket", "_ahead", "_o", "_h", "text")
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -187,8 +209,6 @@ def compare_next(docs: DataFrame, seed: int = SEED) -> DataFrame:
         rows, size = [], 0
         for b in batches:
             for x in zip(b.column("_bucket").to_pylist(), b.column("_ahead").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                if x[1] and rows and rows[-1][1] and rows[-1][0] == x[0]:
-                    continue  # rows with the same id as the head that come after it
                 rows.append(x)
                 size += len(x[3])
                 if size > PART_BYTES and not x[1]:

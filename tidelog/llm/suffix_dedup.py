@@ -27,7 +27,6 @@ doc_id comes after all others.
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, row_parts, tidied, written
+from .common import LAST_ID, even, parts_of, row_parts, tidied, written
 
 WINDOW, GRAM = 100, 20
 LEFT = WINDOW - GRAM
@@ -64,19 +63,6 @@ LAYOUT = {
 }
 
 
-def parts_of(spark) -> int:
-    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def even(rows: DataFrame, buckets: int) -> DataFrame:
-    """One partition for each bucket: each goes by a number that hash partitioning sends to a partition of its own."""
-    at = F.pmod(F.hash(F.col("id").cast("int")), F.lit(buckets))
-    found = rows.sparkSession.range(64 * buckets).groupBy(at.alias("p")).agg(F.min("id").alias("id")).collect()
-    numbers = dict(zip(range(buckets), range(buckets))) | {r["p"]: r["id"] for r in found}
-    table = F.from_json(F.lit(json.dumps([numbers[b] for b in range(buckets)])), "array<int>")
-    return rows.withColumn("_to", F.element_at(table, F.col("bucket") + 1)).repartition(buckets, "_to").drop("_to")
-
-
 def pack(columns) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(len(columns[0]).to_bytes(8, "little") + b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
 
@@ -317,14 +303,14 @@ def repeated(found: DataFrame, buckets: int) -> DataFrame:
         at = order[later]
         yield from marks(d[at], c[at], s[at], s[at] + WINDOW, buckets)
 
-    return even(found, buckets).mapInArrow(tidied(work), ROW)
+    return even(found, "bucket", buckets).mapInArrow(tidied(work), ROW)
 
 
 def with_blobs(docs: DataFrame, blobs: DataFrame, buckets: int) -> DataFrame:
     """Each bucket's blobs, then its documents, in one partition."""
     rows = docs.withColumn("bucket", doc_bucket_column(buckets)).withColumn("kind", F.lit(None).cast("int")).withColumn("blob", F.lit(None).cast("binary"))
     both = rows.unionByName(blobs, allowMissingColumns=True)
-    return even(both, buckets).sortWithinPartitions("bucket", F.desc_nulls_last("kind"))
+    return even(both, "bucket", buckets).sortWithinPartitions("bucket", F.desc_nulls_last("kind"))
 
 
 class Held:
@@ -536,7 +522,7 @@ def compare_contexts(found: DataFrame, buckets: int) -> DataFrame:
             if len(i):
                 yield from marks(d[o][i], c[o][i], start, end, buckets)
 
-    return even(found, buckets).mapInArrow(tidied(work), ROW)
+    return even(found, "bucket", buckets).mapInArrow(tidied(work), ROW)
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
