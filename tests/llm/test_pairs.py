@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -182,6 +183,35 @@ def test_contamination_in_pieces(monkeypatch):
         assert [(f[0], f[1], f[2], f[3]) for f in found] == [(0, 0, at, 90)]
 
 
+@pytest.mark.parametrize("piece, expanded, widest", [(1 << 16, 1 << 20, 1 << 16), (40, 7, 30)])
+def test_contamination_of_repetitive_text(monkeypatch, piece, expanded, widest):
+    for name, value in (("PIECE", piece), ("EXPANDED", expanded), ("WIDEST", widest)):
+        monkeypatch.setattr(decontaminate, name, value)
+    rng = random.Random(12)
+    unit = ["=", "-", "ab", "abc ", "=-", "aab"]
+    texts = ["".join(rng.choice(unit) * rng.randrange(1, 40) for _ in range(rng.randrange(1, 6))) for _ in range(40)]
+    items = [(i, t) for i, t in enumerate(["=" * 60, "ab" * 35, "abc " * 20, "=" * 30 + "-" * 30, "x" + "a" * 50, "=", "ab", "-=-"] + texts[:5])]
+    index = decontaminate.Index.of(items)
+    for text in map(decontaminate.normal, texts):
+        got = {i: (d, text[s : s + n], places) for i, d, s, n, places in decontaminate.leaks(text, index)}
+        for i, x in items:
+            x = decontaminate.normal(x)
+            d = edits(x, text)
+            assert (i in got) == (d <= decontaminate.budget(len(x)) if len(x) >= decontaminate.Q else d == 0)
+            if i in got:
+                assert got[i][0] == d == edits(x, got[i][1]) and got[i][2] >= 1
+
+
+def test_long_runs_of_one_character():
+    index = decontaminate.Index.of([(1, "=" * 300), (2, "some other words that are long enough " * 3)])
+    began = time.process_time()
+    assert [f[:2] for f in decontaminate.leaks("=" * 200_000 + " tail", index)] == [(0, 0)]
+    assert decontaminate.leaks("-" * 200_000, index) == []
+    assert time.process_time() - began < 30
+    three = ("words before " + "=" * 400 + " and so many words after it ") * 3
+    assert decontaminate.leaks(three, index) == [(0, 0, 13, 300, 3)]
+
+
 def test_fingerprints_by_next_document(docs, fixture_rows):
     got = edit_embedding.op8(docs).collect()
     assert len(got) == len(fixture_rows)
