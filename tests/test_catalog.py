@@ -1,10 +1,14 @@
+import threading
+import time
+from urllib.parse import quote
+
 import pytest
 
-from tidelog.catalog import Catalog
+from tidelog.catalog import STALE_MS, Catalog, now_ms
 from tidelog.dataset import DatasetClient
-from tidelog.errors import AlreadyExists, CatalogError, InvalidArgument, InvalidOptions, InvalidTerm, NotFound, ReadOnly, ScanError, VersionConflict
+from tidelog.errors import AlreadyExists, Cancelled, CatalogError, InvalidArgument, InvalidOptions, InvalidTerm, NotFound, ReadOnly, ScanError, VersionConflict
 from tidelog.operators.scan import ScanFilter, ScanRequest
-from tidelog.timeline import Timeline, TimelineOptions
+from tidelog.timeline import Cursor, Recorder, Timeline, TimelineOptions
 from tidelog.types import Dataset, DatasetSchema, Field, Policies
 
 
@@ -102,6 +106,110 @@ def test_timeline_log(spark, catalog, tmp_path):
         Timeline(catalog, root, "t", readonly=True)
 
 
+def test_takeover_between_manifest_and_commit(spark, catalog, tmp_path):
+    """The old writer's manifest is there when a new term begins: its rows are nobody's, and the new writer goes on."""
+    root = f"file://{tmp_path}/data"
+    old = Timeline(catalog, root, "t")
+    assert old.record(b"first") == 1
+    put, taken = catalog.store.put, []
+
+    def between(kind, *args):
+        done = put(kind, *args)
+        if kind == "manifests" and not taken:
+            taken.append(Timeline(catalog, root, "t"))
+        return done
+
+    catalog.store.put = between
+    with pytest.raises(InvalidTerm):
+        old.record(b"stale")
+    catalog.store.put = put
+    payloads = lambda: [bytes(r["payload"]) for r in Timeline(catalog, root, "t", readonly=True).fetch().collect()]
+    assert payloads() == [b"first"]
+    assert taken[0].record(b"second") == 2 and payloads() == [b"first", b"second"]
+    # A manifest that its writer left behind when it died does not count either, now or after later appends.
+    put("manifests", f"t/{3:019d}-{taken[0].term}-dead", {"start": 3, "end": 9, "term": taken[0].term, "path": f"{root}/nowhere"}, None)
+    assert payloads() == [b"first", b"second"]
+    assert Timeline(catalog, root, "t").record(b"third") == 3 and payloads() == [b"first", b"second", b"third"]
+
+
+def test_truncation_within_an_append(spark, catalog, tmp_path):
+    t = Timeline(catalog, f"file://{tmp_path}/data", "t")
+    t.append(spark.range(10).selectExpr("id", "CAST(CAST(id AS STRING) AS BINARY) AS payload"), ["id"])
+    t.truncate(4)
+    assert t.append(spark.range(3).selectExpr("id", "CAST('n' AS BINARY) AS payload"), ["id"]) == (5, 8)
+    assert [(r["off"], r["term"]) for r in t.fetch().collect()] == [(o, 1) for o in (1, 2, 3, 4)] + [(o, 2) for o in (5, 6, 7)]
+    t.truncate(0)
+    assert t.rows().count() == 0 and t.record(b"x") == 1
+
+
+def test_numbers_of_equal_rows(spark, catalog, tmp_path):
+    t = Timeline(catalog, f"file://{tmp_path}/data", "t")
+    assert t.append(spark.range(1000).selectExpr("1 AS a", "CAST(CAST(id % 3 AS STRING) AS BINARY) AS payload"), ["a"]) == (1, 1001)
+    assert [r["off"] for r in t.fetch().collect()] == list(range(1, 1001))
+
+
+def test_abandoned_lock(spark, catalog, tmp_path):
+    store = catalog.store
+    store.put("x", "k", {"n": 1}, None)
+    lock = store._path("locks", quote(store._path("x", "k", f"{2:012d}.json").toString(), safe=""))
+    store._write(lock, "somebody", False)
+    with pytest.raises(VersionConflict):
+        store.put("x", "k", {"n": 2}, 1)
+    store.fs.setTimes(lock, now_ms() - 10 * STALE_MS, -1)
+    assert store.put("x", "k", {"n": 2}, 1).version == 2 and store.latest("x", "k").value == {"n": 2}
+
+
+def test_recorder(catalog, tmp_path):
+    t = Timeline(catalog, f"file://{tmp_path}/data", "t")
+    r = Recorder(t, linger=0.2)
+    offsets = [f.result(60) for f in [r.record(b"%d" % i) for i in range(300)]]
+    assert offsets == list(range(1, 301)) and len(t._manifests()) <= 4
+    r.close()
+    with pytest.raises(Cancelled):
+        r.record(b"late")
+    slow = Recorder(t, linger=30)
+    waiting = slow.record(b"soon")
+    slow.close()  # does not wait for more
+    assert waiting.result(60) == 301
+    for bad in ([], [None], [(None, None, None)]):
+        with pytest.raises(InvalidArgument):
+            t.record_batch(bad)
+    with pytest.raises(InvalidTerm):
+        t.record_batch([(b"x", None, None)], term=t.term - 1)
+    assert t.rows().count() == 301
+
+
+def test_recorder_that_is_not_drained(catalog, tmp_path):
+    t = Timeline(catalog, f"file://{tmp_path}/data", "t")
+    gate, append = threading.Event(), t.record_batch
+    t.record_batch = lambda events, term=None: gate.wait(60) and append(events, term)
+    r = Recorder(t, max_batch=1, linger=0)
+    first, second = r.record(b"a"), r.record(b"b")
+    time.sleep(0.2)
+    closer = threading.Thread(target=r.close, args=(False,))
+    closer.start()
+    with pytest.raises(Cancelled):
+        second.result(60)
+    gate.set()
+    closer.join()
+    assert first.result(60) == 1 and t.rows().count() == 1
+
+
+def test_cursor(spark, catalog, tmp_path):
+    t = Timeline(catalog, f"file://{tmp_path}/data", "t")
+    t.append(spark.range(20).selectExpr("id", "CAST('x' AS BINARY) AS payload"), ["id"])
+    c = Cursor(t, 4, limit=5, piece=3)
+    assert [e["off"] for e in c] == [4, 5, 6, 7, 8] and c.position == 9
+    began = time.monotonic()
+    assert [e["off"] for e in Cursor(t, 18, timeout=0.5, poll=0.1)] == [18, 19, 20] and time.monotonic() - began >= 0.5
+    rows, failures = t.rows, iter([True, True, False, False, False])
+    t.rows = lambda *a: 1 / 0 if next(failures) else rows(*a)
+    assert [e["off"] for e in Cursor(t, 19, poll=0.01)] == [19, 20]
+    t.rows = lambda *a: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        list(Cursor(t, 1, poll=0.01))
+
+
 def test_event_log_source(spark, catalog, tmp_path):
     from tidelog.sources import EventLogSource
 
@@ -143,6 +251,34 @@ def test_dataset_client(spark, catalog, tmp_path):
         d.write(spark.range(1).selectExpr("CAST(NULL AS BIGINT) AS id"))
 
 
+def test_interleaved_writers(spark, catalog, tmp_path):
+    """B commits while A is numbering, and while a compaction runs: nothing is lost, and no offset is given twice."""
+    catalog.create_dataset(Dataset("d", SCHEMA, Policies(indexes=("kind",))))
+    a, b = (DatasetClient(catalog, f"file://{tmp_path}/data", "d") for _ in range(2))
+    rows = lambda n, kind: spark.range(n).selectExpr("id", f"'{kind}' AS kind")
+    part, done = a._part, []
+
+    def between(path):
+        if not done:
+            done.append(b.write(rows(10, "b")))
+        return part(path)
+
+    a._part = between
+    assert a.write(rows(5, "a")) == (10, 15) and done == [(0, 10)]
+    assert [(r["_offset"], r["kind"]) for r in a.rows().orderBy("_offset").collect()] == [(o, "b" if o < 10 else "a") for o in range(15)]
+    done.clear()
+    assert a.run_action(catalog.submit_action("compact", "d", {})["id"])["status"] == "succeeded"
+    assert done == [(15, 25)] and a.rows().count() == 25 and a.next_offset == 25
+    done.clear()
+    assert a.run_action(catalog.submit_action("offload", "d", {"to": f"file://{tmp_path}/cold"})["id"])["status"] == "succeeded"
+    assert a.rows().count() == 35 and sorted(r["_offset"] for r in a.rows().collect()) == list(range(35))
+    with pytest.raises(VersionConflict):
+        a._commit(a._snapshot(1), [], 0)
+    assert a.index_names == ["kind"]
+    one = a.scan(ScanRequest("d", ("id",), (ScanFilter("kind", "eq", b"b"),)))
+    assert one.count() == 30 and len(a._holding(a._snapshot()["parts"], (ScanFilter("kind", "eq", b"zz"),))) == 0
+
+
 def test_actions(spark, catalog, tmp_path):
     catalog.create_dataset(Dataset("d", SCHEMA))
     d = DatasetClient(catalog, f"file://{tmp_path}/data", "d")

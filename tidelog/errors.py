@@ -23,10 +23,6 @@ class VersionConflict(CatalogError):
         self.expected, self.actual = expected, actual
 
 
-class Unsupported(CatalogError):
-    pass
-
-
 class InvalidOptions(CatalogError):
     pass
 
@@ -59,6 +55,10 @@ class NotEnoughUnits(LogError):
     pass
 
 
+class Cancelled(LogError):
+    """An event that was still waiting when its writer was closed."""
+
+
 class ScanError(TidelogError):
     """A dataset scan names an unknown field or operation."""
 
