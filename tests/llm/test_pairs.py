@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.llm import decontaminate, edit_embedding, graph, set_join, suffix_dedup
 
@@ -48,6 +49,23 @@ def test_set_join(spark, docs, fixture_rows, monkeypatch, k, share, long_list):
     assert rows_of(set_join.join(docs, k, share)) == components(fixture_rows, k, share)
 
 
+@pytest.mark.parametrize("share", [(80, 100), (45, 100)])
+def test_long_lists_are_split(spark, monkeypatch, share):
+    """One shingle is in every prefix: the list of it is keyed anew and dealt into blocks, and no link is lost."""
+    monkeypatch.setattr(set_join, "LONG_LIST", 8)
+    monkeypatch.setattr(set_join, "LARGEST_LIGHT", 0)
+    monkeypatch.setattr(set_join, "counters", lambda docs, words: np.zeros(1 << 20, np.uint8))  # order by hash alone
+    rng = random.Random(8)
+    rows, base = [], [[f"w{rng.randrange(60)}" for _ in range(12)] for _ in range(12)]
+    for i in range(160):
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(12)] = f"v{rng.randrange(500)}"
+        rows.append((i, " ".join(sorted({"common", "also", "too", *w}))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert rows_of(set_join.join(frame, 1, share)) == components(rows, 1, share)
+
+
 def test_set_join_of_nothing(none):
     assert set_join.op2(none).count() == 0
 
@@ -67,6 +85,11 @@ def test_representatives(spark, docs, fixture_rows):
     assert got.columns == docs.columns
     assert {r["doc_id"] for r in got.collect() if r["doc_id"] is not None} == expected
     assert got.where("doc_id = 100").count() == 1 and got.where("doc_id IS NULL").count() == 2
+    rows = [(1, "a b c d e f", "en", 1), (1, "a b c d e f", "de", 2), (1, "x y z", "en", 3), (2, "a b c d e f", "en", 4), (3, None, "en", 5), (3, None, "fr", 6), (None, "a b c d e f", "en", 7)]
+    clash = spark.createDataFrame(rows, "doc_id long, text string, _row string, _stays long").withColumn("_id", F.lit("clash"))
+    got = set_join.representatives(clash)
+    assert got.columns == clash.columns and sorted((r["doc_id"], r["text"]) for r in got.where("doc_id IS NOT NULL AND text IS NOT NULL").collect()) == [(1, "a b c d e f"), (1, "x y z")]
+    assert got.where("doc_id = 3").count() == 1 and got.where("doc_id IS NULL").count() == 1
 
 
 def test_components(spark):

@@ -8,12 +8,15 @@ must hit one of. The boundary between both is the size at which the sum of subse
 list entries over the measured histogram of sizes costs least; light sets large enough
 for a heavy partner are in the lists as well.
 
+A list of more than LONG_LIST members is keyed anew by a second shingle of each (partners
+share two of their rarest), and what is still longer is dealt into blocks; members go on
+together only where bitmaps of their whole sets leave a link possible. The order "rarest
+first" comes from counters, more of them for larger inputs; any order gives the same links.
+
 What met forms candidate groups, each of which is verified exactly by scanning inverted
-lists of its whole sets; a group of more than BLOCK shingles is verified in pairs of
-blocks. Equal sets are one class before all that and get its result, so copies cost
-nothing. The order "rarest first" comes from counters of fixed number; any order gives
-the same links. Members of a list go on together only where bitmaps of their whole sets
-leave a link possible.
+lists of its whole sets; a group of more than BLOCK shingles is dealt by size and hash
+into blocks and verified in pairs of blocks whose sizes can link. Equal sets are one class
+before all that and get its result, so copies cost nothing.
 
 A null or blank text is an empty set: no shingle, no link. Rows that share a doc_id are
 one node; a null doc_id is never linked and has a null component.
@@ -31,17 +34,17 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import row_parts, tidied, written
+from .common import nested, row_parts, tidied, written
 from .graph import components
 
-#: Counters that stand for the frequency of shingles: 16 MB, whatever the input; summed in so many parts.
-COUNTER_BITS, COUNTER_PARTS = 22, 64
+#: Counters that stand for the frequency of shingles, as powers of two: one for so many bytes of text, from the least to the most
+#: (a broadcast of 32 MB); summed in so many parts.
+COUNTER_BYTES, LEAST_BITS, MOST_BITS, COUNTER_PARTS = 128, 20, 25, 64
 #: Bits of a set's bitmap, at most.
 LARGEST_BITMAP = 1 << 14
-#: Lists longer than this are taken as they are, without looking at bitmaps.
+#: Members of a list that are compared by their bitmaps in one task; longer lists are split.
 LONG_LIST = 4096
 #: Shingles of one block of a candidate group.
 BLOCK = 1_500_000
@@ -161,20 +164,22 @@ def subsets(s: np.ndarray, share: tuple[int, int], light: int) -> Iterator[tuple
 
 
 def counters(docs: DataFrame, words: int) -> np.ndarray:
-    """How often shingles fall on each of 2^COUNTER_BITS counters, over all documents."""
-    part = (1 << COUNTER_BITS) // COUNTER_PARTS
+    """How often shingles fall on each counter, over all documents, as eight times the logarithm to base 2."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, (size // COUNTER_BYTES).bit_length()))
+    part = (1 << bits) // COUNTER_PARTS
     schema = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
 
     def packed(n: np.ndarray) -> bytes:
-        return zstandard.ZstdCompressor(level=1).compress(n.astype(np.uint32).tobytes())
+        return zstandard.ZstdCompressor(level=1).compress(n.tobytes())
 
-    def unpacked(blob: bytes) -> np.ndarray:
-        return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint32)
+    def unpacked(blob: bytes, kind) -> np.ndarray:
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
 
     def count(batches):
-        total = np.zeros(1 << COUNTER_BITS, np.uint32)
+        total = np.zeros(1 << bits, np.uint32)
         for b in row_parts(batches, "text", PIECE):
-            np.add.at(total, counter_of(np.concatenate(shingles_of(b.column("text").to_pylist(), words))), np.uint32(1))
+            np.add.at(total, counter_of(np.concatenate(shingles_of(b.column("text").to_pylist(), words)), bits), np.uint32(1))
         for k in range(COUNTER_PARTS):
             own = total[k * part : (k + 1) * part]
             if own.any():
@@ -184,19 +189,20 @@ def counters(docs: DataFrame, words: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist()):
-                total.setdefault(k, np.zeros(part, np.uint32))[:] += unpacked(blob)
+                total.setdefault(k, np.zeros(part, np.uint64))[:] += unpacked(blob, np.uint32)
         for k, n in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed(n)], pa.binary())], schema=schema)
+            scaled = np.minimum(255, np.round(8 * np.log2(1.0 + n))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed(scaled)], pa.binary())], schema=schema)
 
     rows = docs.select("text").mapInArrow(tidied(count), "part int, blob binary").repartition(COUNTER_PARTS, "part")
-    out = np.zeros(1 << COUNTER_BITS, np.uint32)
-    for r in rows.mapInArrow(tidied(add), "part int, blob binary").collect():
-        out[r["part"] * part : (r["part"] + 1) * part] = unpacked(r["blob"])
+    out = np.zeros(1 << bits, np.uint8)
+    for r in rows.mapInArrow(tidied(add), "part int, blob binary").collect():  # COUNTER_PARTS rows
+        out[r["part"] * part : (r["part"] + 1) * part] = unpacked(r["blob"], np.uint8)
     return out
 
 
-def counter_of(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+def counter_of(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def parity_bits(s: np.ndarray) -> bytes:
@@ -206,17 +212,18 @@ def parity_bits(s: np.ndarray) -> bytes:
 
 
 def set_table(docs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
-    """(doc_id, n_shingles, sig, prefix, bits) of each row: sig names its set; prefix has its rarest shingles, all of a small set."""
-    order = docs.sparkSession.sparkContext.broadcast(counters(docs, words))  # 4 bytes << COUNTER_BITS
+    """(doc_id, n_shingles, sig, prefix, bits) of each row: sig names its set; prefix has its rarest shingles, one more than lists take, all of a small set."""
+    order = docs.sparkSession.sparkContext.broadcast(counters(docs, words))  # 1 << MOST_BITS bytes at most
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("prefix", pa.binary()), ("bits", pa.binary())])
 
     def sets(batches):
         n = order.value
+        bits = len(n).bit_length() - 1
         for b in row_parts(batches, "text", PIECE):
             out = []
             for i, s in zip(b.column("doc_id").to_pylist(), shingles_of(b.column("text").to_pylist(), words)):
-                kept = len(s) if len(s) <= LARGEST_LIGHT else prefix_length(len(s), share)
-                rarest = s[np.lexsort((s, n[counter_of(s)]))[:kept]]
+                kept = len(s) if len(s) <= LARGEST_LIGHT else prefix_length(len(s), share) + 1
+                rarest = s[np.lexsort((s, n[counter_of(s, bits)]))[:kept]]
                 out.append((i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, rarest.tobytes(), parity_bits(s)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, schema)], schema=schema)
 
@@ -248,9 +255,58 @@ def met(reps: DataFrame, share: tuple[int, int], light: int) -> DataFrame:
             if key:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(kind).astype(np.int32)), pa.array(np.concatenate(size).astype(np.int64)), pa.array(np.concatenate(doc).astype(np.int64))], schema=schema)
 
+    found = written(runs_of(reps.select("doc_id", "n_shingles", "prefix").mapInArrow(tidied(emit), ENTRY), share), "runs")
+    lists = found.where("kind = 0").select("key", "centre", "doc_id")
+    long = found.where((F.col("kind") == 0) & (F.col("rank") == LONG_LIST)).select("key", "centre")
+    if long.limit(1).count():
+        members = written(lists.join(long, ["key", "centre"], "left_semi"), "long")
+        lists = lists.join(long, ["key", "centre"], "left_anti")
+        if 2 * share[0] > share[1]:  # partners that are not equal share two shingles
+            entries = members.join(reps.select("doc_id", "n_shingles", "prefix"), "doc_id").mapInArrow(tidied(lambda batches: seconds(batches, share)), ENTRY)
+            members = written(runs_of(entries, share).select("key", "centre", "doc_id"), "seconds")
+        size = F.ceil(F.col("size") / LONG_LIST).cast("int")
+        sized = members.join(members.groupBy("key", "centre").agg(F.count("*").alias("size")), ["key", "centre"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), size).cast("int"))
+        sides = sized.select("*", F.explode(F.sequence(F.lit(0), size - 1)).alias("other"))
+        blocks = sides.select("key", "centre", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id")
+    else:
+        blocks = None
+    lists = lists.select("key", "centre", F.lit(0).alias("low"), F.lit(0).alias("high"), "doc_id")
+    lists = (lists if blocks is None else lists.unionByName(blocks)).join(reps.groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "bits"), "sig").alias("s")), "doc_id")
+    group = ["key", "centre", "low", "high"]
+    possible = (
+        lists.select(*group, "doc_id", F.col("s.n_shingles").alias("n"), F.col("s.bits").alias("bits"))
+        .repartition(*group).sortWithinPartitions(*group, "doc_id").mapInArrow(tidied(lambda batches: neighbours(batches, share)), "a long, b long")
+    )
+    return possible.unionByName(found.where("kind > 0").select(F.col("doc_id").alias("a"), F.col("centre").alias("b"))).where("a <> b")
+
+
+ENTRY = "key long, kind int, n long, doc_id long"
+
+
+def seconds(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Of members (key, doc_id, n_shingles, prefix) of long lists: entries for the key with each later shingle of the prefix that partners may share next."""
+    for b in batches:
+        key, size, doc = [], [], []
+        for k, i, n, p in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "n_shingles", "prefix"))):
+            s = np.frombuffer(p, np.uint64)[: prefix_length(n, share) + 1]
+            first = np.array([k], np.int64).view(np.uint64)
+            later = s[int(np.flatnonzero(s == first)[0]) + 1 :]
+            key.append(mixed(mixed(np.repeat(first, len(later))) + later))
+            size.append(np.full(len(later), n))
+            doc.append(np.full(len(later), i))
+        if key:
+            k = np.concatenate(key).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.zeros(len(k), np.int32)), pa.array(np.concatenate(size).astype(np.int64)), pa.array(np.concatenate(doc).astype(np.int64))], names=["key", "kind", "n", "doc_id"])
+
+
+def runs_of(entries: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Rows (key, kind, centre, doc_id, rank) of runs of two or more entries of one key, subset or list, in order of size.
+
+    A run ends at a gap of sizes that no link spans. Its first member is the centre; rank counts from it.
+    """
+
     def runs(batches):
-        """Sorted by key, subset or list, size: rows (key, kind, centre, doc_id) of runs of two or more; the first of a run, or the first after a gap that no link spans, is the centre."""
-        last = (None, None, None, None, False)  # key, list, size, centre, whether it began a run
+        last = (None, None, None, None, None, False)  # key, list, size, centre, rank, whether it began a run
         for b in batches:
             k, t, n, d = (b.column(c).to_numpy() for c in ("key", "kind", "n", "doc_id"))
             if not len(k):
@@ -261,25 +317,17 @@ def met(reps: DataFrame, share: tuple[int, int], light: int) -> DataFrame:
             if last[0] is not None:
                 begins[0] = not (k[0] == last[0] and t[0] == last[1] and last[2] * share[1] >= n[0] * share[0])
             at = np.maximum.accumulate(np.where(begins, np.arange(len(k)), -1))
-            centre = np.where(at >= 0, d[np.maximum(at, 0)], last[3] if last[3] is not None else -1)
-            second = ~begins & np.concatenate([[last[4]], begins[:-1]])
-            last = (k[-1], t[-1], n[-1], centre[-1], bool(begins[-1]))
+            goes_on = at < 0
+            centre = np.where(goes_on, last[3] if last[3] is not None else -1, d[np.maximum(at, 0)])
+            rank = np.where(goes_on, np.arange(len(k)) + 1 + (last[4] or 0), np.arange(len(k)) - at)
+            second = ~begins & np.concatenate([[last[5]], begins[:-1]])
+            last = (k[-1], t[-1], n[-1], centre[-1], int(rank[-1]), bool(begins[-1]))
             use = ~begins
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([x[use], y[second]])) for x, y in ((k, k), (t, t), (centre, centre), (d, centre))], names=["key", "kind", "centre", "doc_id"]
-            )
-
-    found = written(
-        reps.select("doc_id", "n_shingles", "prefix").mapInArrow(tidied(emit), "key long, kind int, n long, doc_id long")
-        .repartition("key").sortWithinPartitions("key", F.col("kind") > 0, "n", "doc_id").mapInArrow(tidied(runs), "key long, kind long, centre long, doc_id long"),
-        "runs",
-    )
-    lists = found.where("kind = 0").join(reps.groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "bits"), "sig").alias("s")), "doc_id")
-    possible = (
-        lists.select("key", "centre", "doc_id", F.col("s.n_shingles").alias("n"), F.col("s.bits").alias("bits"))
-        .repartition("key", "centre").sortWithinPartitions("key", "centre", "doc_id").mapInArrow(tidied(lambda batches: neighbours(batches, share)), "a long, b long")
-    )
-    return possible.unionByName(found.where("kind > 0").select(F.col("doc_id").alias("a"), F.col("centre").alias("b"))).where("a <> b")
+            columns = ((k, k), (t, t), (centre, centre), (d, centre), (rank, np.zeros(len(k), np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[use], y[second]])) for x, y in columns], names=["key", "kind", "centre", "doc_id", "rank"])
+
+    ordered = entries.repartition("key").sortWithinPartitions("key", F.col("kind") > 0, "n", "doc_id")
+    return ordered.mapInArrow(tidied(runs), "key long, kind long, centre long, doc_id long, rank long")
 
 
 def folded(bits: np.ndarray, words: int) -> np.ndarray:
@@ -291,7 +339,7 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def neighbours(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Lists (key, centre), in order, into stars of the members that their bitmaps connect."""
+    """Lists (key, centre, low, high), in order, into stars of the members that their bitmaps connect."""
 
     def stars(docs, sizes, bitmaps):
         docs, sizes = np.array(docs), np.array(sizes)
@@ -319,27 +367,16 @@ def neighbours(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Ite
                 left = left[~near]
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    key, held, long = None, ([], [], []), False
+    key, held = None, ([], [], [])
     for batch in batches:
-        out_a, out_b = [], []
-        for k, c, d, n, bits in zip(*(batch.column(x).to_pylist() for x in ("key", "centre", "doc_id", "n", "bits"))):
-            if (k, c) != key:
-                if len(held[0]) > 1 and not long:
+        for *group, d, n, bits in zip(*(batch.column(x).to_pylist() for x in ("key", "centre", "low", "high", "doc_id", "n", "bits"))):
+            if group != key:
+                if len(held[0]) > 1:
                     yield stars(*held)
-                key, held, long = (k, c), ([], [], []), False
-            if long:
-                out_a.append(d)
-                out_b.append(c)
-                continue
+                key, held = group, ([], [], [])
             for x, y in zip(held, (d, n, bits)):
                 x.append(y)
-            if len(held[0]) > LONG_LIST:
-                out_a += held[0]
-                out_b += [c] * len(held[0])
-                long = True
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-    if len(held[0]) > 1 and not long:
+    if len(held[0]) > 1:
         yield stars(*held)
 
 
@@ -410,13 +447,24 @@ def join(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100)) ->
     light = boundary(histogram, share)
     groups = written(components(met(reps, share, light)).withColumnRenamed("id", "doc_id"), "groups")
 
-    # Blocks of bounded size in each group; most groups have one.
-    sized = groups.join(reps.groupBy("doc_id").agg(F.max("n_shingles").alias("n"), F.max("copies").alias("copies")), "doc_id")
-    running = F.sum("n").over(W.partitionBy("component").orderBy("n", "doc_id").rowsBetween(W.unboundedPreceding, -1))
-    blocks = written(sized.withColumn("block", F.coalesce(F.floor(running / BLOCK), F.lit(0)).cast("int")), "blocks")
+    # Groups beyond BLOCK shingles in blocks: by classes of size, of which only neighbours can link, and by hash; most groups have one.
+    sized = written(groups.join(reps.groupBy("doc_id").agg(F.max("n_shingles").alias("n"), F.max("copies").alias("copies")), "doc_id"), "sized")
+    classed = sized.withColumn("class", F.floor(F.log(F.col("n")) / math.log(share[1] / share[0]) + 1e-9).cast("int") if share[0] < share[1] else F.col("n").cast("int"))
+    totals = classed.groupBy("component", "class").agg(F.sum("n").alias("held"))
+    whole = totals.groupBy("component").agg(F.sum("held").alias("total")).where(F.col("total") > BLOCK)
+    several = whole.limit(1).count() > 0
+    if several:
+        large = written(whole, "large")
+        dealt = classed.join(large, "component").join(totals, ["component", "class"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("held") / BLOCK)).cast("int"))
+        placed = dealt.select("doc_id", "component", "n", "copies", "class", "part")
+        rest = classed.join(large, "component", "left_anti").select("doc_id", "component", "n", "copies", F.lit(0).alias("class"), F.lit(0).alias("part"))
+        blocks = written(placed.unionByName(rest).withColumn("block", F.col("class").cast("long") * (1 << 31) + F.col("part")), "blocks")
+    else:
+        blocks = sized.withColumn("block", F.lit(0).cast("long"))
     spans = blocks.groupBy("component", "block").agg(F.min("n").alias("low_n"), F.max("n").alias("high_n"))
     other = spans.select("component", F.col("block").alias("with"), F.col("low_n").alias("l2"), F.col("high_n").alias("h2"))
-    met_blocks = spans.join(other, "component").where((F.col("with") >= F.col("block")) & (F.col("high_n") * share[1] >= F.col("l2") * share[0]))
+    can_link = (F.col("high_n") * share[1] >= F.col("l2") * share[0]) & (F.col("h2") * share[1] >= F.col("low_n") * share[0])
+    met_blocks = spans.join(other, "component").where((F.col("with") >= F.col("block")) & can_link)
     pairs = met_blocks.select("component", F.explode(F.array(
         F.struct(F.col("block").alias("block"), F.col("block").alias("low"), F.col("with").alias("high"), F.lit(0).alias("side")),
         F.struct(F.col("with").alias("block"), F.col("block").alias("low"), F.col("with").alias("high"), F.lit(1).alias("side")),
@@ -428,7 +476,6 @@ def join(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100)) ->
         .select("grp", "low", "high", "side", "doc_id", "copies", "text")
     )
     found = written(verified(grouped, words, share), "links")
-    several = blocks.where("block > 0").limit(1).count() > 0
     label = components(found) if several else found.select(F.col("a").alias("id"), F.col("b").alias("component"))
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     named = (
@@ -451,11 +498,17 @@ def op2(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
-    """docs without those that another of smaller id stands for; a repeated row stays once, a row without id always."""
+    """docs without those that another of smaller id stands for; a row without id always stays.
+
+    Of rows of one id and equal texts one stays, the first by a hash of all its columns; rows of one
+    id and different texts all stay where their id does.
+    """
     found = written(join(docs, words, share), "joined")
     stay = found.where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_stays")).distinct()
-    kept = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("_stays")), "left_semi")
+    own = docs.select(nested(docs), F.col("doc_id").cast("long").alias("_id"), "text")
+    kept = own.join(stay, F.col("_id").eqNullSafe(F.col("_stays")), "left_semi")
     if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        again = F.row_number().over(W.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
-        kept = kept.withColumn("_again", again).where("_again = 1 OR doc_id IS NULL").drop("_again")
-    return kept
+        first = F.min_by("_row", F.sha2(F.to_json("_row", {"ignoreNullFields": "false"}), 256)).alias("_row")
+        once = kept.where("_id IS NOT NULL").groupBy("_id", F.sha2(F.coalesce("text", F.lit("")), 256), F.col("text").isNull()).agg(first)
+        kept = once.select("_row").unionByName(kept.where("_id IS NULL").select("_row"))
+    return kept.select("_row.*")
