@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import string
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -497,6 +498,25 @@ def op2(docs: DataFrame) -> DataFrame:
     return join(docs, 4, (85, 100))
 
 
+def oracle() -> str:
+    """The rows of op2() as DuckDB SQL: every two different sets that share a shingle are compared."""
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    return rf"""
+    WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_sort(list_distinct(list_transform(range(len(w) - 3), lambda i: array_to_string(w[i + 1 : i + 4], ' ')))) END AS s FROM d),
+    c AS MATERIALIZED (SELECT s, min(doc_id) AS rep, count(*) AS copies, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+    e AS MATERIALIZED (SELECT rep, n, copies, unnest(s) AS x FROM c),
+    links AS MATERIALIZED (SELECT a.rep AS a, b.rep AS b, b.copies FROM e a JOIN e b ON a.x = b.x AND a.rep <> b.rep
+        GROUP BY a.rep, a.n, b.rep, b.n, b.copies HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+    reach(a, b) AS (SELECT rep, rep FROM c UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    low AS (SELECT a AS rep, min(b) AS component_id FROM reach GROUP BY a),
+    linked AS (SELECT a AS rep, sum(copies) AS n FROM links GROUP BY a),
+    near AS (SELECT c.s, low.component_id, c.copies - 1 + coalesce(linked.n, 0) AS n_links FROM c JOIN low ON c.rep = low.rep LEFT JOIN linked ON c.rep = linked.rep)
+    SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(near.component_id, s.doc_id) AS component_id, CAST(coalesce(near.n_links, 0) AS BIGINT) AS n_links
+    FROM s LEFT JOIN near ON s.s = near.s"""
+
+
 def representatives(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
     """docs without those that another of smaller id stands for; a row without id always stays.
 

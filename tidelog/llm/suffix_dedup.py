@@ -594,3 +594,20 @@ def op5(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), (F.length("_kept") + F.col("_removed")).cast("long").alias("n_bytes"),
         F.col("_removed").alias("n_removed"), F.col("_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"),
     )
+
+
+def oracle() -> str:
+    """The rows of op5() as DuckDB SQL: every window of every text, compared by its bytes' checksum."""
+    return f"""
+    WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    w AS MATERIALIZED (SELECT doc_id, p, md5(substr(h, 2 * p + 1, {2 * WINDOW})) AS x
+        FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - {WINDOW - 1})) AS p FROM d WHERE length(h) >= {2 * WINDOW})),
+    f AS (SELECT x, min((doc_id, p)) AS first FROM w GROUP BY x HAVING count(*) > 1),
+    v AS (SELECT doc_id, p FROM w JOIN f USING (x) WHERE (doc_id, p) > first),
+    stepped AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM v),
+    runs AS (SELECT doc_id, min(p) AS s, max(p) + {WINDOW} AS e
+        FROM (SELECT doc_id, p, sum(CASE WHEN p <= before + {WINDOW} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM stepped) GROUP BY doc_id, run),
+    g AS (SELECT doc_id, count(*) AS n_spans, sum(e - s) AS n_removed, list(s ORDER BY s) AS s, list(e ORDER BY s) AS e FROM runs GROUP BY doc_id),
+    k AS (SELECT d.doc_id, h, n_spans, n_removed, CASE WHEN g.doc_id IS NULL THEN h ELSE array_to_string(list_transform(range(len(s) + 1),
+        lambda i: substr(h, 2 * coalesce(e[i], 0) + 1, 2 * (coalesce(s[i + 1], length(h) // 2) - coalesce(e[i], 0)))), '') END AS kept FROM d LEFT JOIN g ON d.doc_id = g.doc_id)
+    SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM k"""
