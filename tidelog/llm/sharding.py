@@ -9,7 +9,8 @@ as there are partitions.
 
 Rows, even equal ones, are dealt one by one. Null values only take part as values
 of their row; an empty table gives an empty result. Columns of the input are carried
-along; one named like an output column (``shard``, ``slot``) is replaced by it.
+along, whatever their names; one named like an output column (``shard``, ``slot``) is
+replaced by it.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ import math
 import random
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import nested, written
 
 #: Rows of one logical partition or of one slot range, about; sorted by one task.
 ROWS_A_PART = 1_000_000
@@ -32,32 +34,27 @@ MOST_PARTS = 8192
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
-    """Good items among draws without return, by inversion outwards from the mode."""
+    """Good items among draws without return, by inversion.
+
+    The law's weights are multiplied up from the mode by their ratios, in both directions as far as
+    they matter, and divided by their sum: no term is a difference of large logarithms, so they add up
+    to 1 whatever the sizes.
+    """
     low, high = max(0, draws - bad), min(good, draws)
     if low == high:
         return low
-    mode = min(high, max(low, (good + 1) * (draws + 1) // (good + bad + 2)))
-    lg = math.lgamma
-    p = math.exp(
-        lg(good + 1) - lg(mode + 1) - lg(good - mode + 1)
-        + lg(bad + 1) - lg(draws - mode + 1) - lg(bad - draws + mode + 1)
-        - lg(good + bad + 1) + lg(draws + 1) + lg(good + bad - draws + 1)
-    )
-    u, up, down, p_up, p_down = rng.random() - p, mode, mode, p, p
-    while u > 0:
-        if up < high:
-            p_up *= (good - up) * (draws - up) / ((up + 1) * (bad - draws + up + 1))
-            up, u = up + 1, u - p_up
-            if u <= 0:
-                return up
-        if down > low:
-            p_down *= down * (bad - draws + down) / ((good - down + 1) * (draws - down + 1))
-            down, u = down - 1, u - p_down
-            if u <= 0:
-                return down
-        if up == high and down == low or p_up < 1e-300 and p_down < 1e-300:
-            break  # what rounding left over
-    return mode
+    n = good + bad
+    mode = min(high, max(low, (good + 1) * (draws + 1) // (n + 2)))
+    spread = math.sqrt(draws * (good / n) * (bad / n) * ((n - draws) / max(1, n - 1)))
+    reach = math.ceil(14 * spread) + 60  # beyond, all weights together are below 2^-53 of the sum
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    up = np.arange(mode, last, dtype=np.float64)
+    down = np.arange(mode, first, -1, dtype=np.float64)
+    above = np.cumprod((good - up) * (draws - up) / ((up + 1) * (bad - draws + up + 1)))
+    below = np.cumprod(down * (bad - draws + down) / ((good - down + 1) * (draws - down + 1)))
+    weights = np.concatenate([below[::-1], [1.0], above])
+    ends = np.cumsum(weights)
+    return first + int(min(np.searchsorted(ends, rng.random() * ends[-1], side="right"), len(ends) - 1))
 
 
 def communication_matrix(rows: list[int], shards: int, seed: int) -> list[list[int]]:
@@ -80,8 +77,9 @@ def communication_matrix(rows: list[int], shards: int, seed: int) -> list[list[i
 
 def deal(df: DataFrame, shards: int = 40, seed: int = 17) -> DataFrame:
     """df with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in its shard)."""
-    spark, own = df.sparkSession, [c for c in df.columns if c.lower() not in ("shard", "slot")]
-    rows = written(df.select(*own, F.monotonically_increasing_id().alias("_uid")), "deal")
+    spark = df.sparkSession
+    own = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("shard", "slot")])
+    rows = written(own.select(nested(own), F.monotonically_increasing_id().alias("_uid")), "deal")
     total = rows.count()
     parts = min(MOST_PARTS, max(16, math.ceil(total / ROWS_A_PART)))
     keyed = rows.withColumn("_part", F.pmod(F.xxhash64(F.lit(seed), "_uid"), F.lit(parts)).cast("int"))
@@ -112,7 +110,7 @@ def deal(df: DataFrame, shards: int = 40, seed: int = 17) -> DataFrame:
         dealt.withColumn("_in", F.row_number().over(within) - 1)
         .join(before, ["shard", "_range"])
         .withColumn("slot", F.col("_before") + F.col("_in"))
-        .select(*own, "shard", "slot")
+        .select("_row.*", "shard", "slot")
     )
 
 
