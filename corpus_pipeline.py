@@ -13,38 +13,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import decontaminate, pieces, quality, set_join, suffix_dedup
-from tidelog.llm.common import table, written
+from tidelog.llm.common import nested, table, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the classifier, learned from all of the corpus's labels, scores 0.3 or more."""
     machine = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality.score(docs, machine, "_quality").where("_quality >= 0.3").drop("_quality")
+    return quality.scored(docs, machine).where("_score >= 0.3").select("_row.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates (five words, 0.8) the document of smallest id.
 
-    A repeated row stays once. Documents without an id are linked with nothing and stay.
+    Rows of one id and equal texts are copies: one stays. Rows without an id are linked with nothing and stay.
     """
     return set_join.representatives(docs, 5, (80, 100))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out what stands in an earlier place; a character cut in part goes whole. n_chars follows the text."""
-    found = suffix_dedup.dedupe(docs, whole=True)
+    found = suffix_dedup.cut_rows(docs, whole=True)
     kept = F.col("_kept").cast("string")
-    columns = {"text": F.when(F.col("_removed") == 0, F.col("text")).otherwise(kept)}
-    if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("_removed") == 0, F.col("n_chars")).otherwise(F.length(kept)).cast("long")
-    return found.withColumns(columns).select(*docs.columns)
+    own = {c: F.col(f"_row.`{c}`") for c in docs.columns}
+    own["text"] = F.when(F.col("_removed") == 0, own["text"]).otherwise(kept)
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("_removed") == 0, own["n_chars"]).otherwise(F.length(kept)).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[column.alias(name) for name, column in own.items()])
 
 
 def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item, within its edit budget; rows that only share an id with them stay."""
-    keyed = docs.select("doc_id", "text", F.sha2("text", 256).alias("_sha"))
-    found = decontaminate.contamination(keyed, table(spark, sf_dir, "benchmark"), "_sha").select(F.col("doc_id").alias("_leak"), F.col("_sha").alias("_leak_sha")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("_leak")) & (F.sha2(docs["text"], 256) == F.col("_leak_sha")), "left_anti")
+    sha = F.sha2("text", 256)
+    found = decontaminate.contamination(docs.select("doc_id", "text", sha.alias("_sha")), table(spark, sf_dir, "benchmark"), "_sha")
+    leaks = found.select(F.col("doc_id").alias("_leak"), F.col("_sha").alias("_leak_sha")).distinct()
+    own = docs.select(nested(docs), F.col("doc_id").cast("long").alias("_id"), sha.alias("_sha"))
+    return own.join(leaks, F.col("_id").eqNullSafe(F.col("_leak")) & (F.col("_sha") == F.col("_leak_sha")), "left_anti").select("_row.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +63,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("SentencePiece encoding and decoding", token_ids),
 ]
 
-#: The stages learn, align and segment: SQL can't express them. They are tested against brute force instead.
+#: The stages learn, align and segment: SQL can't express them. Each is tested against a version of its own in tests/llm.
 ORACLE_SQL = None
 
 

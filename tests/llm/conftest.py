@@ -38,12 +38,14 @@ def fixture_rows():
     return rows
 
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, bucket int, _doc int, component_id string, ids int"
+#: Names that operators use inside, as columns of the caller's.
+CLASHES = "_uid _part _ends _before _in _key _kept _removed _spans _stays _leak _leak_sha _sha _quality _score _text _words _hits _own _base _starts places n_words _row _id bucket_ kind blob item_id rank key n".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, bucket int, _doc int, component_id string, ids int, " + ", ".join(f"`{c}` string" for c in CLASHES)
 
 
 @pytest.fixture(scope="session")
 def docs(spark, fixture_rows):
-    rows = [(i, t, "en", None, None if t is None else len(t), "clash", 1, 2, "clash", 3) for i, t in fixture_rows]
+    rows = [(i, t, "en", None, None if t is None else len(t), "clash", 1, 2, "clash", 3, *CLASHES) for i, t in fixture_rows]
     return spark.createDataFrame(rows, SCHEMA).repartition(5)
 
 

@@ -1,8 +1,10 @@
 """Packing, pieces, licenses, quality, WARC, sharding and the pipeline."""
 
 import base64
+import functools
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -142,11 +144,51 @@ def test_licences(docs, fixture_rows, none):
     assert licences.op4(none).count() == 0
 
 
+def plain_places(rows):
+    """What scan() gives, by loops over words."""
+    words = {i: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for i, t in rows}
+    count = functools.cache(lambda x: sum(x in w for w in words.values()))
+    weight = lambda x: max(0.01, np.log((len(rows) + 1) / (count(x) + 0.5)))
+    indexed = []
+    for text, key, label in licences.TEMPLATES:
+        t = text.split()
+        places = sorted((p for p in range(len(t)) if count(t[p])), key=lambda p: (count(t[p]), p))[: licences.INDEXED]
+        indexed.append((t, key.split(), label, places))
+    known = {t[p] for t, _, _, places in indexed for p in places}
+    out = {}
+    for i, w in words.items():
+        looked = set(sorted(known.intersection(w), key=lambda x: (count(x), x))[: licences.LOOKED_UP])
+        found = set()
+        for t, key, label, places in indexed:
+            k = next(j for j in range(len(t)) if t[j : j + len(key)] == key)
+            for start in range(-len(t), len(w)):
+                at = lambda j: w[start + j] if 0 <= start + j < len(w) else None
+                agree = sum(at(p) == t[p] and t[p] in looked for p in places)
+                share = sum(weight(x) for j, x in enumerate(t) if at(j) == x) / sum(map(weight, t))
+                if agree >= licences.AGREE and all(at(k + j) == x for j, x in enumerate(key)) and share >= licences.LEAST_SHARE:
+                    found.add((label, start))
+        out[i] = found
+    return out
+
+
 def test_licence_templates(spark):
-    rows = [(i, f"intro {t[0]} outro") for i, t in enumerate(licences.TEMPLATES)] + [(100, "permission is here granted free of charge"), (101, "mit"), (102, "apache licence"), (103, "mit license " * 40)]
-    got = {r["doc_id"]: r for r in licences.op4(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(t[2] in got[i]["labels"].split(",") for i, t in enumerate(licences.TEMPLATES))
-    assert [got[i]["labels"] for i in (100, 101, 102)] == ["", "", ""] and got[103]["n_base"] == 40
+    rng = random.Random(5)
+    rows = [(i, f"intro {t[0]} outro") for i, t in enumerate(licences.TEMPLATES)]
+    rows += [(100, "permission is here granted free of charge"), (101, "mit"), (102, "apache licence"), (103, "mit license " * 40), (105, "General Public License version 3, and more")]
+    for i in range(200, 240):  # notices with words changed, dropped or cut off
+        w = rng.choice(licences.TEMPLATES)[0].split()
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = rng.choice(["", "other", "word"])
+        rows.append((i, " ".join(w[rng.randrange(3) :]) + rng.choice(["", " and " + rng.choice(licences.TEMPLATES)[0]])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_words", F.lit("clash")).withColumn("_own", F.lit(1)).withColumn("places", F.lit(2))
+    found = licences.scan(frame)
+    assert found.columns == ["doc_id", "text", "_words", "_own", "n_words", "places"]
+    got = {r["doc_id"]: {(p["label"], p["start"]) for p in r["places"] if not p["base"]} for r in found.collect()}
+    assert got == plain_places(rows)
+    assert all(t[2] in {label for label, _ in got[i]} for i, t in enumerate(licences.TEMPLATES))
+    assert not any(got[i] for i in (100, 101, 102)) and ("gpl-3.0", -1) in got[105]
+    base = {r["doc_id"]: r["n_base"] for r in licences.op4(frame).collect()}
+    assert base[103] == 40 and base[100] == 0
 
 
 def test_quality(spark, docs, none):
@@ -165,7 +207,88 @@ def test_quality(spark, docs, none):
     assert quality.op7(docs, marks.where("quality = 1")).where("score < 0.9").count() == 0
     assert quality.op7(none, marks).count() == 0
     scored = quality.score(docs, quality.train(frame, marks))
-    assert scored.columns == [*docs.columns, "_score"] and scored.count() == docs.count() and scored.where("_score IS NULL").count() == 0
+    assert scored.columns == [*(c for c in docs.columns if c != "_score"), "_score"] and scored.count() == docs.count() and scored.where("_score IS NULL").count() == 0
+
+
+def plain_loss(m, rows, labels):
+    """The mean loss with each pair of features multiplied out."""
+    total = 0.0
+    for x, y in zip(rows, labels):
+        z = m.w0 + sum(a * b for a, b in zip(m.w, x))
+        z += sum(sum(p * q for p, q in zip(m.v[i], m.v[j])) * x[i] * x[j] for i in range(len(x)) for j in range(i))
+        total += math.log1p(math.exp(-z if y else z))
+    decay = sum(w * w for w in m.w) + sum(v * v for row in m.v for v in row)
+    return total / len(rows) + quality.DECAY / 2 * decay
+
+
+def test_gradients_are_those_of_the_plain_loss():
+    rng = np.random.default_rng(6)
+    n = 7
+    m = quality.Machine(0.3, rng.normal(size=n), rng.normal(size=(n, 3)) / 2, np.zeros(0), np.ones(0))
+    x, y = rng.normal(size=(9, n)), rng.integers(0, 2, 9)
+    g0, gw, gv = quality.gradients(m, x, y)
+
+    def slope(put):
+        ends = []
+        for d in (1e-5, -1e-5):
+            other = quality.Machine(m.w0, m.w.copy(), m.v.copy(), m.mean, m.scale)
+            put(other, d)
+            ends.append(plain_loss(other, x, y))
+        return (ends[0] - ends[1]) / 2e-5
+
+    assert g0 == pytest.approx(slope(lambda o, d: setattr(o, "w0", o.w0 + d)), abs=1e-7)
+    for i in range(n):
+        assert gw[i] == pytest.approx(slope(lambda o, d: o.w.__setitem__(i, o.w[i] + d)), abs=1e-7)
+        for f in range(3):
+            assert gv[i, f] == pytest.approx(slope(lambda o, d: o.v.__setitem__((i, f), o.v[i, f] + d)), abs=1e-7)
+
+
+def test_fit_step_by_step():
+    """The machine after some epochs by a plain version of the optimiser, number by number, over the features that occur."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(6):
+        at = np.sort(rng.choice(12, 4, replace=False))
+        rows.append((at, rng.random(4), rng.normal(size=quality.DENSE)))
+    labels = np.array([0, 1, 1, 0, 1, 0], float)
+    got = quality.fit(rows, labels, seed=2, epochs=3, batch=4)
+
+    size, k = quality.BUCKETS + quality.DENSE, quality.FACTORS
+    on = [*range(12), *range(quality.BUCKETS, size)]
+    dense = np.array([r[2] for r in rows])
+    mean, scale = dense.mean(0), dense.std(0) + 1e-3
+    random_ = np.random.default_rng(2)
+    start = random_.normal(0, 0.01, (size, k))
+    w0, w, v = math.log(labels.mean() / (1 - labels.mean())), dict.fromkeys(on, 0.0), {(i, f): start[i, f] for i in on for f in range(k)}
+    moments = {key: [0.0, 0.0] for key in [*w, *v]}
+    xs = []
+    for at, values, d in rows:
+        x = dict.fromkeys(on, 0.0) | dict(zip(at.tolist(), values.tolist()))
+        xs.append(x | {quality.BUCKETS + j: min(5.0, max(-5.0, (d[j] - mean[j]) / scale[j])) for j in range(quality.DENSE)})
+    step = 0
+    for _ in range(3):
+        order = random_.permutation(6)
+        for first in (0, 4):
+            part, step = order[first : first + 4], step + 1
+            gw, gv, g0 = {i: quality.DECAY * w[i] for i in on}, {key: quality.DECAY * x for key, x in v.items()}, 0.0
+            for r in part.tolist():
+                x = xs[r]
+                s = [sum(v[i, f] * x[i] for i in on) for f in range(k)]
+                z = w0 + sum(w[i] * x[i] for i in on) + sum(s[f] ** 2 - sum((v[i, f] * x[i]) ** 2 for i in on) for f in range(k)) / 2
+                g = (1 / (1 + math.exp(-z)) - labels[r]) / len(part)
+                g0 += g
+                for i in on:
+                    gw[i] += g * x[i]
+                    for f in range(k):
+                        gv[i, f] += g * x[i] * (s[f] - v[i, f] * x[i])
+            w0 -= quality.RATE * g0
+            for values, grads in ((w, gw), (v, gv)):
+                for key, g in grads.items():
+                    a, b = moments[key]
+                    a, b = moments[key] = [0.9 * a + 0.1 * g, 0.999 * b + 0.001 * g * g]
+                    values[key] -= quality.RATE * (a / (1 - 0.9**step)) / (math.sqrt(b / (1 - 0.999**step)) + 1e-8)
+    assert got.w0 == pytest.approx(w0) and np.allclose([got.w[i] for i in on], [w[i] for i in on], atol=1e-7)
+    assert np.allclose([got.v[i, f] for i, f in v], list(v.values()), atol=1e-6)
 
 
 def test_sum_of_squares_identity():
@@ -225,7 +348,10 @@ def test_sharding(docs, fixture_rows, none):
     expected = sorted((str(i), len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in fixture_rows)
     assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == expected
     assert sharding.op10(none).count() == 0
-    assert set(sharding.deal(docs, 3).columns) == {*docs.columns, "slot"}
+    dealt = sharding.deal(docs, 3)
+    assert dealt.columns == [c for c in docs.columns if c != "shard"] + ["shard", "slot"]
+    others = [c for c in docs.columns if c != "shard"]
+    assert sorted(map(str, dealt.select(*others).collect())) == sorted(map(str, docs.select(*others).collect()))
 
 
 def test_slots_over_several_ranges(spark, monkeypatch):
@@ -240,8 +366,65 @@ def test_communication_matrix():
     rows = [rng.randrange(0, 300) for _ in range(30)]
     m = sharding.communication_matrix(rows, 7, 3)
     assert [sum(r) for r in m] == rows and max(map(sum, zip(*m))) - min(map(sum, zip(*m))) <= 1
-    draws = [sharding.hypergeometric(rng, 30, 70, 40) for _ in range(4000)]
-    assert abs(np.mean(draws) - 12) < 0.15 and abs(np.var(draws) - 40 * 0.3 * 0.7 * 60 / 99) < 0.5
+
+
+class Fixed:
+    """Stands for a random number generator that gives one number."""
+
+    def __init__(self, u):
+        self.u = u
+
+    def random(self):
+        return self.u
+
+
+@pytest.mark.parametrize("good, bad, draws", [(30, 70, 40), (3, 2, 4), (1, 500, 20), (400, 3, 17), (50, 50, 100), (0, 5, 3)])
+def test_draws_follow_the_exact_law(good, bad, draws):
+    """Each count is drawn by just the numbers between the exact law's sums, computed with whole numbers."""
+    weights = {k: math.comb(good, k) * math.comb(bad, draws - k) for k in range(max(0, draws - bad), min(good, draws) + 1)}
+    total, below = sum(weights.values()), 0
+    assert total == math.comb(good + bad, draws)
+    for k, w in weights.items():
+        if w / total > 1e-9:
+            assert sharding.hypergeometric(Fixed(below / total + w / total * 0.001), good, bad, draws) == k
+            assert sharding.hypergeometric(Fixed((below + w) / total - w / total * 0.001), good, bad, draws) == k
+        below += w
+
+
+def test_draws_of_large_numbers():
+    """The middle of the law, and its spread, at sizes where logarithms of factorials lose all digits."""
+    good, bad, draws = 25 * 10**9, 975 * 10**9, 120 * 10**6
+    mean, spread = draws * 0.025, math.sqrt(draws * 0.025 * 0.975)
+    for z, u in ((0, 0.5), (1, 0.841345), (-2, 0.0227501)):
+        assert abs(sharding.hypergeometric(Fixed(u), good, bad, draws) - mean - z * spread) < 0.01 * spread + 1
+
+
+def test_dealing_step_by_step(spark):
+    """Shards and slots by a plain version, from the same numbers of rows."""
+    import xxhash
+
+    shards, seed, parts = 5, 17, 16
+    frame = spark.range(700).repartition(3).withColumn("_uid", F.lit("clash"))
+    uid = {r["id"]: r["u"] for r in frame.select("id", F.monotonically_increasing_id().alias("u")).collect()}
+
+    def h(first, u):
+        start = xxhash.xxh64_intdigest(first.to_bytes(4, "little"), 42)
+        x = xxhash.xxh64_intdigest(u.to_bytes(8, "little"), start)
+        return x - 2**64 if x >= 2**63 else x
+
+    by_part: dict = {}
+    for i, u in uid.items():
+        by_part.setdefault(h(seed, u) % parts, []).append((h(seed + 1, u), u, i))
+    matrix = sharding.communication_matrix([len(by_part.get(p, [])) for p in range(parts)], shards, seed)
+    shard_of, held = {}, {}
+    for p, rows in by_part.items():
+        to = [j for j, n in enumerate(matrix[p]) for _ in range(n)]
+        for (_, u, i), j in zip(sorted(rows), to):
+            shard_of[i] = j
+            held.setdefault(j, []).append((h(seed + 2, u), u, i))
+    slot_of = {i: n for rows in held.values() for n, (_, _, i) in enumerate(sorted(rows))}
+    got = {r["id"]: (r["shard"], r["slot"]) for r in sharding.deal(frame, shards, seed).collect()}
+    assert got == {i: (shard_of[i], slot_of[i]) for i in uid}
 
 
 def test_pipeline(spark):

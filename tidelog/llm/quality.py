@@ -25,14 +25,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import tidied
+from .common import nested, tidied
 
 BUCKETS = 1 << 13
 FACTORS = 8
 #: Labelled rows that the machine is fitted on, at most.
 MOST_ROWS = 8192
 FOLDS = 5
+#: Length of a step, and decay of weights.
+RATE, DECAY = 0.02, 1e-5
 #: Words whose buckets a worker remembers.
 MOST_WORDS = 300_000
 
@@ -60,14 +63,12 @@ def features(text: str | None, buckets: Buckets) -> tuple[np.ndarray, np.ndarray
     data = (text or "").encode()
     words = data.lower().split()
     n, size = len(words), max(1, len(data))
-    ids = np.fromiter(map(buckets.__getitem__, words), np.int64, n)
-    counts = np.bincount(ids, minlength=BUCKETS) if n else np.zeros(BUCKETS, np.int64)
-    at = np.flatnonzero(counts)
-    values = np.sqrt(counts[at].astype(np.float64))
+    at, counts = np.unique(np.fromiter(map(buckets.__getitem__, words), np.int64, n), return_counts=True)
+    values = np.sqrt(counts.astype(np.float64))
     values /= np.sqrt((values**2).sum()) or 1.0
     kinds = np.bincount(KINDS[np.frombuffer(data, np.uint8)], minlength=8) / size
     lines = data.split(b"\n")
-    top = counts[at].max() / n if n else 0.0
+    top = counts.max() / n if n else 0.0
     dense = [
         *kinds, np.log1p(size), np.log1p(n), len(set(words)) / max(1, n), top, size / max(1, n) / 10,
         len(set(lines)) / len(lines), np.log1p(len(lines)), np.log1p(size / len(lines)), float(n == 0),
@@ -93,6 +94,14 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def gradients(m: Machine, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Of the mean logistic loss over the rows of x, with weight decay, by w0, w and v."""
+    s = x @ m.v
+    z = m.w0 + x @ m.w + 0.5 * ((s * s).sum(1) - (x * x) @ (m.v * m.v).sum(1))
+    g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
+    return float(g.sum()), x.T @ g + DECAY * m.w, x.T @ (g[:, None] * s) - m.v * ((x * x).T @ g)[:, None] + DECAY * m.v
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 5, epochs: int = 12, batch: int = 128) -> Machine:
     """Adam on the logistic loss with weight decay; batches in an order fixed by the seed."""
     rng, n = np.random.default_rng(seed), len(rows)
@@ -115,16 +124,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarra
             for i, k in enumerate(part):
                 x[i, rows[k][0]] = rows[k][1]
             x[:, BUCKETS:] = dense[part]
-            s = x @ m.v
-            z = m.w0 + x @ m.w + 0.5 * ((s * s).sum(1) - (x * x) @ (m.v * m.v).sum(1))
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[part]) / len(part)
+            g0, *grads = gradients(m, x, labels[part])
             step += 1
-            m.w0 -= 0.02 * g.sum()
-            grads = (x.T @ g + 1e-5 * m.w, x.T @ (g[:, None] * s) - m.v * ((x * x).T @ g)[:, None] + 1e-5 * m.v)
+            m.w0 -= RATE * g0
             for p, grad, (a, b) in zip((m.w, m.v), grads, moments):
                 a += 0.1 * (grad - a)
                 b += 0.001 * (grad * grad - b)
-                p -= 0.02 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
+                p -= RATE * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
     return m
 
 
@@ -161,20 +167,27 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mac
 
 
 def score(docs: DataFrame, machine: Machine, column: str = "_score") -> DataFrame:
-    """docs, each row with its score in a new column."""
+    """docs, each row with its score in a column, which replaces one of that name."""
+    others = [c for c in docs.columns if c.lower() != column.lower()]
+    return scored(docs, machine).select(*[F.col(f"_row.`{c}`").alias(c) for c in others], F.col("_score").alias(column))
+
+
+def scored(docs: DataFrame, machine: Machine) -> DataFrame:
+    """(_row, _score): each row of docs as a struct, and its score."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)  # some 600 KB, whatever the input
-    schema = docs.drop(column).withColumn(column, F.lit(0.0).cast("double")).schema
+    own = docs.select(nested(docs), F.col("text").alias("_text"))
+    schema = T.StructType([own.schema["_row"], T.StructField("_score", T.DoubleType())])
 
     def scores(batches):
         buckets, m = Buckets(), sent.value
         for b in batches:
-            found = pa.array([m.score(*features(t.as_py(), buckets)) for t in b.column("text")], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, found], names=[*b.schema.names, column])
+            found = pa.array([m.score(*features(t.as_py(), buckets)) for t in b.column("_text")], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column("_row"), found], names=["_row", "_score"])
 
-    return docs.drop(column).mapInArrow(tidied(scores), schema)
+    return own.mapInArrow(tidied(scores), schema)
 
 
 def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The digest of score(): every document, with the threshold 0.3."""
-    scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels))
-    return scored.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
+    found = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels))
+    return found.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, even, parts_of, row_parts, tidied, written
+from .common import LAST_ID, even, nested, parts_of, row_parts, tidied, written
 
 WINDOW, GRAM = 100, 20
 LEFT = WINDOW - GRAM
@@ -549,10 +549,16 @@ def widened(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def dedupe(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """docs with ``_kept`` (remaining bytes), ``_removed`` (bytes cut) and ``_spans`` (maximal runs cut); with whole, characters cut in part go whole."""
+    """docs with ``_kept``, ``_removed`` and ``_spans`` of cut_rows(), which replace columns of these names."""
+    others = [c for c in docs.columns if c.lower() not in ("_kept", "_removed", "_spans")]
+    return cut_rows(docs, whole).select(*[F.col(f"_row.`{c}`").alias(c) for c in others], "_kept", "_removed", "_spans")
+
+
+def cut_rows(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """(_row, _kept, _removed, _spans): each row of docs, its remaining bytes, how many were cut, in how many maximal runs; with whole, characters cut in part go whole."""
     spark = docs.sparkSession
     buckets = parts_of(spark)
-    own = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_doc"), "text")
+    own = docs.select(nested(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_doc"), "text")
     small = own.select("_doc", "text")
     first = written(repeated(find_anchors(small, hot_anchors(small), buckets), buckets), "anchors")
     asked = fetch_contexts(with_blobs(small, first.where(F.col("kind") == REQUESTS), buckets), buckets)
@@ -583,8 +589,7 @@ def dedupe(docs: DataFrame, whole: bool = False) -> DataFrame:
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*out), schema)]
                 yield pa.RecordBatch.from_arrays([row, *columns], names=["_row", "_kept", "_removed", "_spans"])
 
-    result = rows.select("bucket", "kind", "blob", "_doc", "_row").mapInArrow(tidied(cut), result_type)
-    return result.select("_row.*", "_kept", "_removed", "_spans")
+    return rows.select("bucket", "kind", "blob", "_doc", "_row").mapInArrow(tidied(cut), result_type)
 
 
 def op5(docs: DataFrame) -> DataFrame:
