@@ -33,7 +33,11 @@ def chunked(p, text, size):
         first, end = max(0, at - p.longest), min(len(s), at + size)
         out.append((s[first : end + p.longest], at - first, end - first))
     matrices = [p.transfer(*c) for c in out]
-    states = pieces.border_states(matrices)
+    states = pieces.border_states(matrices) if matrices else []
+    if len(matrices) > 3:  # down a tree of two levels
+        cut = len(matrices) // 2
+        outer = pieces.border_states([pieces.product(matrices[:cut]), pieces.product(matrices[cut:])])
+        assert states == pieces.border_states(matrices[:cut], *outer[:2])[:-1] + pieces.border_states(matrices[cut:], *outer[1:])
     return b"".join(p.chunk_ids(*c, a, b) for c, a, b in zip(out, states, states[1:])), matrices
 
 
@@ -88,6 +92,52 @@ def test_encode_and_decode(docs, fixture_rows, none, processor, chunk):
     assert pieces.op3(none).count() == 0
 
 
+def unigram_model(path):
+    """A model made by hand: letters, some syllables and bytes, with scores."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    m, rng = sentencepiece_model_pb2.ModelProto(), random.Random(4)
+    names = ["a", "b", "c", "d", "\u2581", "ab", "bc", "abc", "\u2581a", "ca", "cad", "bb", "dad", "\u2581ab", "dc"]
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] + [(x, -rng.random() * 5 - 1, 1) for x in names]
+    for piece, score, kind in rows:
+        m.pieces.add(piece=piece, score=score, type=kind)
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback, m.trainer_spec.vocab_size = 1, True, len(rows)
+    m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces = "identity", True, False
+    path.write_bytes(m.SerializeToString())
+    return str(path)
+
+
+def test_unigram_model(spark, tmp_path):
+    import sentencepiece
+
+    path, rng = unigram_model(tmp_path / "u.model"), random.Random(7)
+    rows = [(i, "".join(rng.choice("aaabbbcccddd  \u00e9") for _ in range(rng.choice([0, 3, 40, 900])))) for i in range(60)]
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = {r["doc_id"]: list(r["ids"]) for r in pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), path, chunk=11).collect()}
+    score = lambda ids: sum(sp.get_score(i) for i in ids)
+    for i, t in rows:  # of two best paths either will do
+        assert got[i] == sp.encode(t) or score(got[i]) == pytest.approx(score(sp.encode(t)), abs=1e-3)
+        assert sp.decode(got[i]) == sp.decode(sp.encode(t))
+    assert sum(got[i] == sp.encode(t) for i, t in rows) > 50
+
+
+def test_giant_text_over_many_tasks(spark, processor):
+    """Five million characters, some without any place that no piece spans; chunks over all tasks, a tree of three levels."""
+    rng = random.Random(2)
+    text = "".join(rng.choice(["the ", "tion", "er", "  ", "\n", "\u4e2d", "\u00e9", "x", "1", "don't ", ".", "a" * 50]) for _ in range(600_000))
+    frame = spark.createDataFrame([(1, text), (2, "short"), (None, text[:100_000])], "doc_id long, text string")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    try:
+        got = {r["doc_id"]: r for r in pieces.encode(frame, chunk=1000, with_ids=False).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    for i, t in ((1, text), (2, "short"), (None, text[:100_000])):
+        ids = np.array(processor.encode(t), np.int32)
+        assert got[i]["n_pieces"] == len(ids) and got[i]["ids_sha256"] == hashlib.sha256(ids.tobytes()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+
+
 def test_best_fit():
     rng = random.Random(1)
     for _ in range(100):

@@ -4,15 +4,17 @@ A text is a path through the lattice of pieces. At a chunk's border the path's s
 (how many characters the last piece reaches over, the last piece), or START where the
 border is a place that no piece spans. A chunk's transfer matrix has, for each state it
 can be entered in, the best weight of a path to each state it can be left in; matrices
-combine by (max, +), which is associative. From the combined matrices follows the state
-at every border, and each chunk is then traced back by itself.
+combine by (max, +), which is associative. A document's chunks are dealt over all tasks,
+their matrices combined in a tree of FAN at a time; down the same tree the state at every
+border follows, and each chunk is then traced back by itself, over all tasks again.
 
 Unigram models weigh pieces by their scores. For BPE models the weights are 0 and
 minus infinity: a sequence of pieces is the BPE encoding just when every two neighbours,
 merged anew, stay as they are, so the one path of weight 0 is what the merges give.
-Between places that no piece spans (before a blank, round a line feed if no piece holds
-one) the matrix has a single row or column, and what lies between needs no lattice: such
-fragments are encoded once and remembered.
+At a place that no piece spans (before a blank, round a line feed if no piece holds one)
+the matrix has a single row or column. A lattice is built from each border to the first
+such place in the chunk and from the last one on, or through the whole chunk where there
+is none; the fragments between such places are encoded once and remembered.
 
 Texts of at most two chunks are encoded at once. A null text is an empty one and gives
 no ids. Decoding turns the mark for blanks into blanks, so a text that itself has that
@@ -38,7 +40,9 @@ from pyspark.sql import functions as F
 
 from .common import row_parts, tidied, written
 
-CHUNK = 1 << 15
+CHUNK = 1 << 13
+#: Chunks, or groups of them, whose matrices one step of the tree combines.
+FAN = 64
 #: Stands for a blank in models' pieces.
 MARK = "▁"
 MOST_FRAGMENTS, LONG_FRAGMENT = 600_000, 48
@@ -306,13 +310,20 @@ def combine(a: dict, b: dict) -> dict:
     return out
 
 
-def border_states(matrices: list[dict]) -> list[tuple[int, int]]:
-    """The state at each border of a document's chunks, its two ends included."""
-    rows = [{(0, START): 0.0}]
-    for m in matrices:
+def product(matrices: list[dict]) -> dict:
+    """Neighbours combined, and their products again, up to one matrix."""
+    while len(matrices) > 1:
+        matrices = [combine(*pair) if len(pair) == 2 else pair[0] for pair in (matrices[i : i + 2] for i in range(0, len(matrices), 2))]
+    return matrices[0]
+
+
+def border_states(matrices: list[dict], entry: tuple[int, int] = (0, START), exit_: tuple[int, int] = (0, START)) -> list[tuple[int, int]]:
+    """The state at each border of some neighbouring chunks, the outer two given."""
+    rows = [{entry: 0.0}]
+    for m in matrices[:-1]:
         rows.append(combine({0: rows[-1]}, m)[0])
-    states = [(0, START)]
-    for m, row in zip(reversed(matrices), reversed(rows[:-1])):
+    states = [exit_]
+    for m, row in zip(reversed(matrices), reversed(rows)):
         states.append(max((w + m[s][states[-1]], s) for s, w in row.items() if states[-1] in m.get(s, {}))[1])
     return states[::-1]
 
@@ -331,7 +342,8 @@ def encode(docs: DataFrame, model: str | None = None, with_ids: bool = True, chu
 
     ids_sha256 is that of the ids as little-endian 32-bit integers, decoded_sha256 that of what decoding them gives.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(load_model(model or default_model()))
+    loaded = load_model(model or default_model())
+    sent = docs.sparkSession.sparkContext.broadcast((*loaded, Pieces(*loaded).longest))
     schema = pa.schema(OUT + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
     ddl = DDL + (", ids array<int>" if with_ids else "")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -345,52 +357,63 @@ def encode(docs: DataFrame, model: str | None = None, with_ids: bool = True, chu
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def whole(batches):
-        pieces = Pieces(*sent.value)
+        pieces = Pieces(*sent.value[:2])
         for part in row_parts(batches, "text", 2 << 20):
             texts = part.column("text").to_pylist()
             yield rows(list(zip(part.column("doc_id").to_pylist(), map(len, texts), pieces.encode_all([marked_text(t) for t in texts]))), pieces)
 
-    parts = pa.schema([("uid", pa.int64()), ("no", pa.int64()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("text", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("matrix", pa.binary())])
+    parts = pa.schema([("uid", pa.int64()), ("no", pa.int64()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("text", pa.string()), ("low", pa.int64()), ("high", pa.int64())])
+    parts_ddl = "uid long, no long, doc_id long, n_chars long, text string, low long, high long"
 
     def chunks(batches):
-        pieces, number = Pieces(*sent.value), TaskContext.get().partitionId() << 33
-        margin = pieces.longest
+        """Each text cut, with what its neighbours' pieces may reach over; no piece is looked up here."""
+        number, margin = TaskContext.get().partitionId() << 33, sent.value[2]
         for batch in batches:
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 number, text = number + 1, marked_text(t)
-                for k, at in enumerate(range(0, len(text), chunk)):
-                    first, end = max(0, at - margin), min(len(text), at + chunk)
-                    piece = text[first : end + margin]
-                    low, high = at - first, end - first
-                    matrix = pickle.dumps(pieces.transfer(piece, low, high))
-                    yield pa.RecordBatch.from_pydict({"uid": [number], "no": [k], "doc_id": [i], "n_chars": [len(t)], "text": [piece], "low": [low], "high": [high], "matrix": [matrix]}, parts)
+                for first in range(0, len(text), 64 * chunk):
+                    rows = []
+                    for at in range(first, min(len(text), first + 64 * chunk), chunk):
+                        begin, end = max(0, at - margin), min(len(text), at + chunk)
+                        rows.append((number, at // chunk, i, len(t), text[begin : end + margin], at - begin, end - begin))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), parts)], schema=parts)
+
+    def transfers(batches):
+        pieces = Pieces(*sent.value[:2])
+        for b in batches:
+            found = [pickle.dumps(pieces.transfer(*x)) for x in zip(*(b.column(c).to_pylist() for c in ("text", "low", "high")))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], names=[*b.schema.names, "matrix"])
 
-    def settle(batches):
-        uid, no, matrices = None, [], []
+    def grouped(batches, others):
+        """Groups (uid, grp) of sorted rows: their numbers, matrices and other columns."""
+        key, held = None, []
+        for batch in batches:
+            for u, g, *row in zip(*(batch.column(c).to_pylist() for c in ("uid", "grp", "no", "matrix", *others))):
+                if (u, g) != key:
+                    if held:
+                        yield key, held
+                    key, held = (u, g), []
+                held.append(row)
+        if held:
+            yield key, held
 
-        def states():
-            at = border_states(matrices)
-            return pa.RecordBatch.from_pydict({"uid": [uid] * len(no), "no": no, "entry": [pickle.dumps(s) for s in at[:-1]], "exit": [pickle.dumps(s) for s in at[1:]]})
+    def up(batches):
+        for (u, g), held in grouped(batches, ()):
+            yield pa.RecordBatch.from_pydict({"uid": [u], "no": [g], "matrix": [pickle.dumps(product([pickle.loads(m) for _, m in held]))]})
 
-        for batch in batches:
-            for u, k, m in zip(*(batch.column(c).to_pylist() for c in ("uid", "no", "matrix"))):
-                if u != uid:
-                    if no:
-                        yield states()
-                    uid, no, matrices = u, [], []
-                no.append(k)
-                matrices.append(pickle.loads(m))
-        if no:
-            yield states()
+    def down(batches):
+        for (u, _), held in grouped(batches, ("entry", "exit")):
+            at = border_states([pickle.loads(r[1]) for r in held], pickle.loads(held[0][2]), pickle.loads(held[0][3]))
+            yield pa.RecordBatch.from_pydict({"uid": [u] * len(held), "no": [r[0] for r in held], "entry": [pickle.dumps(s) for s in at[:-1]], "exit": [pickle.dumps(s) for s in at[1:]]})
 
     def trace(batches):
-        pieces = Pieces(*sent.value)
+        pieces = Pieces(*sent.value[:2])
         for batch in batches:
             got = [pieces.chunk_ids(t, lo, hi, pickle.loads(a), pickle.loads(b)) for t, lo, hi, a, b in zip(*(batch.column(c).to_pylist() for c in ("text", "low", "high", "entry", "exit")))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("uid", "no", "doc_id", "n_chars")), pa.array(got, pa.binary())], names=["uid", "no", "doc_id", "n_chars", "ids"])
 
     def gather(batches):
-        pieces, uid, held = Pieces(*sent.value), None, None
+        pieces, uid, held = Pieces(*sent.value[:2]), None, None
         for batch in batches:
             for u, i, n, ids in zip(*(batch.column(c).to_pylist() for c in ("uid", "doc_id", "n_chars", "ids"))):
                 if u != uid:
@@ -402,9 +425,20 @@ def encode(docs: DataFrame, model: str | None = None, with_ids: bool = True, chu
             yield rows([(held[0], held[1], b"".join(held[2]))], pieces)
 
     small = own.where(F.length("text") <= 2 * chunk).mapInArrow(tidied(whole), ddl)
-    giants = written(own.where(F.length("text") > 2 * chunk).mapInArrow(tidied(chunks), "uid long, no long, doc_id long, n_chars long, text string, low long, high long, matrix binary"), "chunks")
-    at = giants.select("uid", "no", "matrix").repartition("uid").sortWithinPartitions("uid", "no").mapInArrow(tidied(settle), "uid long, no long, entry binary, exit binary")
-    traced = giants.drop("matrix").join(at, ["uid", "no"]).mapInArrow(tidied(trace), "uid long, no long, doc_id long, n_chars long, ids binary")
+    cut = own.where(F.length("text") > 2 * chunk).mapInArrow(tidied(chunks), parts_ddl)
+    giants = written(cut.repartition("uid", "no").mapInArrow(tidied(transfers), f"{parts_ddl}, matrix binary"), "chunks")
+    in_groups = lambda rows: rows.repartition("uid", "grp").sortWithinPartitions("uid", "grp", "no")
+    with_group = lambda rows: rows.withColumn("grp", F.floor(F.col("no") / FAN))
+    levels, most = [giants.select("uid", "no", "matrix")], giants.agg(F.max("no")).first()[0] or 0
+    while most:  # as many levels as the logarithm of the longest text's chunks
+        levels.append(written(in_groups(with_group(levels[-1])).mapInArrow(tidied(up), "uid long, no long, matrix binary"), "level"))
+        most //= FAN
+    outer = F.lit(pickle.dumps((0, START)))
+    states = levels.pop().select("uid", "no", outer.alias("entry"), outer.alias("exit"))
+    for below in reversed(levels):
+        above = states.withColumnRenamed("no", "grp")
+        states = in_groups(with_group(below).join(above, ["uid", "grp"])).mapInArrow(tidied(down), "uid long, no long, entry binary, exit binary")
+    traced = giants.drop("matrix").join(states, ["uid", "no"]).mapInArrow(tidied(trace), "uid long, no long, doc_id long, n_chars long, ids binary")
     return small.unionByName(traced.repartition("uid").sortWithinPartitions("uid", "no").mapInArrow(tidied(gather), ddl))
 
 
