@@ -117,8 +117,9 @@ def cut(rows):
     return sorted(out.values(), key=str)
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_suffix_dedup(docs, fixture_rows, monkeypatch, hot):
+@pytest.mark.parametrize("hot, bucket", [(False, 64 << 20), (True, 64 << 20), (False, 9000), (True, 9000)])
+def test_suffix_dedup(docs, fixture_rows, monkeypatch, hot, bucket):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", bucket)
     if hot:
         monkeypatch.setattr(suffix_dedup, "HOT_LEAST", 2)
         monkeypatch.setattr(suffix_dedup, "HOT_SHARE", 10_000)
@@ -126,6 +127,16 @@ def test_suffix_dedup(docs, fixture_rows, monkeypatch, hot):
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=str) == cut(fixture_rows)
 
 
+def test_rows_without_an_id_are_dealt(spark, fixture_rows):
+    rows = [(None if n % 3 == 0 else i, t) for n, (i, t) in enumerate(fixture_rows) if len(t or "") < 5000]
+    rows = [(i, t) for n, (i, t) in enumerate(rows) if i is not None or t not in [x for j, x in rows[:n] if j is None]]
+    known = [r for r in rows if r[0] is not None]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_doc", F.coalesce("doc_id", F.lit(suffix_dedup.LAST_ID)))
+    assert frame.where("doc_id IS NULL").select(suffix_dedup.doc_bucket_column(8).alias("b")).distinct().count() > 4
+    got = suffix_dedup.op5(frame).where("doc_id IS NOT NULL").collect()  # ids that are null come last
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=str) == cut(known)
+
+
 def test_suffix_dedup_keeps_columns(docs, none):
     got = suffix_dedup.dedupe(docs)
     others = [c for c in docs.columns if c not in ("_kept", "_removed", "_spans")]

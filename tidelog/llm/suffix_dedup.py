@@ -20,6 +20,10 @@ windows skip 1 to 3 and are compared one by one, by a 128-bit hash that is first
 within each task, so that no group grows with a passage that a third of all documents
 share. The result is the same either way.
 
+Rows are dealt by hash or document into buckets of about BUCKET_BYTES of text; a partition
+takes its buckets one after the other, so that a task holds one bucket's packed rows,
+whatever the input.
+
 A null text is empty. Rows that share a doc_id count as one document: of their places
 that with the smaller start is earlier, and equal starts do not cover each other. A null
 doc_id comes after all others.
@@ -27,6 +31,7 @@ doc_id comes after all others.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -43,6 +48,8 @@ LEFT = WINDOW - GRAM
 SPAN = LEFT + WINDOW
 SHALLOW = 32
 HOT_LEAST, HOT_SHARE = 20_000, 2000
+#: Text whose anchors one bucket takes, about.
+BUCKET_BYTES = 64 << 20
 #: Texts longer than this are searched in pieces that overlap by a window.
 PIECE = 1 << 20
 #: Anchors and contexts a task holds before it sends them on.
@@ -93,15 +100,16 @@ def dealt(kind: int, bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[
         yield batch(rows[i : i + 64])
 
 
-def doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
+def doc_bucket(doc: np.ndarray, check: np.ndarray, buckets: int) -> np.ndarray:
+    """By document and checksum of the text, so that rows of one id, or of none, are dealt as well."""
     d = doc.view(np.uint64)
-    d = d ^ (d >> np.uint64(7)) ^ (d >> np.uint64(19))
+    d = d ^ (d >> np.uint64(7)) ^ (d >> np.uint64(19)) ^ check.astype(np.uint64)
     return (d.view(np.int64) % buckets).astype(np.int32)
 
 
 def doc_bucket_column(buckets: int) -> F.Column:
-    d = F.col("_doc")
-    return F.pmod(d.bitwiseXOR(F.shiftrightunsigned(d, 7)).bitwiseXOR(F.shiftrightunsigned(d, 19)), F.lit(buckets)).cast("int")
+    d, check = F.col("_doc"), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return F.pmod(d.bitwiseXOR(F.shiftrightunsigned(d, 7)).bitwiseXOR(F.shiftrightunsigned(d, 19)).bitwiseXOR(check), F.lit(buckets)).cast("int")
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -271,46 +279,57 @@ def earliest(a, b, doc, start):
 
 
 def marks(doc, check, start, end, buckets: int) -> Iterator[pa.RecordBatch]:
-    yield from dealt(MARKS, doc_bucket(doc, buckets), [doc, check, start, end])
+    yield from dealt(MARKS, doc_bucket(doc, check, buckets), [doc, check, start, end])
 
 
-def by_kind(batches) -> dict[int, list[bytes]]:
-    out: dict[int, list[bytes]] = {k: [] for k in LAYOUT}
+def by_kind(batches) -> Iterator[dict[int, list[bytes]]]:
+    """Each bucket's blobs, of rows sorted by bucket."""
+    bucket, out = None, {}
     for b in batches:
-        for kind, blob in zip(b.column("kind").to_pylist(), b.column("blob").to_pylist()):
+        for number, kind, blob in zip(*(b.column(c).to_pylist() for c in ("bucket", "kind", "blob"))):
+            if number != bucket:
+                if out:
+                    yield out
+                bucket, out = number, {k: [] for k in LAYOUT}
             out[kind].append(blob)
-    return out
+    if out:
+        yield out
+
+
+def in_buckets(rows: DataFrame) -> DataFrame:
+    """Each partition's buckets one after the other."""
+    return even(rows, "bucket", parts_of(rows.sparkSession)).sortWithinPartitions("bucket")
 
 
 def repeated(found: DataFrame, buckets: int) -> DataFrame:
     """Requests for the anchors that occur more than once; marks for hot windows."""
 
     def work(batches):
-        blobs = by_kind(batches)
-        for blob in blobs[MARKS]:
-            d, c, s, e = unpack(MARKS, [blob])
-            yield from marks(d, c, s, e, buckets)
-        h, d, c, at = unpack(ANCHORS, blobs[ANCHORS])
-        order = np.argsort(h, kind="stable")
-        h = h[order]
-        twice = np.zeros(len(h), bool)
-        twice[1:] = h[1:] == h[:-1]
-        twice[:-1] |= twice[1:]
-        order = order[twice]
-        yield from dealt(REQUESTS, doc_bucket(d[order], buckets), [h[twice], d[order], c[order], at[order]])
-        a, b, d, c, s = unpack(WINDOWS, blobs[WINDOWS])
-        order, _, later = earliest(a, b, d, s)
-        at = order[later]
-        yield from marks(d[at], c[at], s[at], s[at] + WINDOW, buckets)
-
-    return even(found, "bucket", buckets).mapInArrow(tidied(work), ROW)
-
-
-def with_blobs(docs: DataFrame, blobs: DataFrame, buckets: int) -> DataFrame:
+        for blobs in by_kind(batches):
+            for blob in blobs[MARKS]:
+                d, c, s, e = unpack(MARKS, [blob])
+                yield from marks(d, c, s, e, buckets)
+            h, d, c, at = unpack(ANCHORS, blobs.pop(ANCHORS))
+            order = np.argsort(h, kind="stable")
+            h = h[order]
+            twice = np.zeros(len(h), bool)
+            twice[1:] = h[1:] == h[:-1]
+            twice[:-1] |= twice[1:]
+            order = order[twice]
+            yield from dealt(REQUESTS, doc_bucket(d[order], c[order], buckets), [h[twice], d[order], c[order], at[order]])
+            a, b, d, c, s = unpack(WINDOWS, blobs.pop(WINDOWS))
+            order, _, later = earliest(a, b, d, s)
+            at = order[later]
+            yield from marks(d[at], c[at], s[at], s[at] + WINDOW, buckets)
+
+    return in_buckets(found).mapInArrow(tidied(work), ROW)
+
+
+def with_blobs(docs: DataFrame, blobs: DataFrame) -> DataFrame:
     """Each bucket's blobs, then its documents, in one partition."""
-    rows = docs.withColumn("bucket", doc_bucket_column(buckets)).withColumn("kind", F.lit(None).cast("int")).withColumn("blob", F.lit(None).cast("binary"))
+    rows = docs.withColumn("kind", F.lit(None).cast("int")).withColumn("blob", F.lit(None).cast("binary"))
     both = rows.unionByName(blobs, allowMissingColumns=True)
-    return even(both, "bucket", buckets).sortWithinPartitions("bucket", F.desc_nulls_last("kind"))
+    return even(both, "bucket", parts_of(docs.sparkSession)).sortWithinPartitions("bucket", F.desc_nulls_last("kind"))
 
 
 class Held:
@@ -501,18 +520,13 @@ def covered(h, doc, at, rows, left, right) -> tuple[np.ndarray, np.ndarray, np.n
 def compare_contexts(found: DataFrame, buckets: int) -> DataFrame:
     """Marks from the contexts of each hash; marks that come along go on."""
 
-    def work(batches):
-        blobs = by_kind(batches)
-        for blob in blobs[MARKS]:
-            yield from marks(*unpack(MARKS, [blob]), buckets)
-        h, d, c, at, ctx, left, right = unpack(CONTEXTS, blobs.pop(CONTEXTS))
-        if not len(h):
-            return
+    def compare(blobs):
+        h, d, c, at, ctx, left, right = unpack(CONTEXTS, blobs)
         order = np.lexsort((at, d, h))
         h = h[order]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(h)) + 1, [len(h)]])
         first = 0
-        while first < len(cuts) - 1:  # whole groups, some HELD_CONTEXTS rows at a time
+        while first < len(cuts) - 1 and len(h):  # whole groups, some HELD_CONTEXTS rows at a time
             last = max(first + 1, int(np.searchsorted(cuts, cuts[first] + HELD_CONTEXTS)) - 1)
             o = order[cuts[first] : cuts[last]]
             o = o[np.lexsort((at[o], d[o]))]
@@ -522,7 +536,13 @@ def compare_contexts(found: DataFrame, buckets: int) -> DataFrame:
             if len(i):
                 yield from marks(d[o][i], c[o][i], start, end, buckets)
 
-    return even(found, "bucket", buckets).mapInArrow(tidied(work), ROW)
+    def work(batches):
+        for blobs in by_kind(batches):
+            for blob in blobs[MARKS]:
+                yield from marks(*unpack(MARKS, [blob]), buckets)
+            yield from compare(blobs.pop(CONTEXTS))
+
+    return in_buckets(found).mapInArrow(tidied(work), ROW)
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -557,14 +577,16 @@ def dedupe(docs: DataFrame, whole: bool = False) -> DataFrame:
 def cut_rows(docs: DataFrame, whole: bool = False) -> DataFrame:
     """(_row, _kept, _removed, _spans): each row of docs, its remaining bytes, how many were cut, in how many maximal runs; with whole, characters cut in part go whole."""
     spark = docs.sparkSession
-    buckets = parts_of(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(parts_of(spark), math.ceil(size / BUCKET_BYTES))
     own = docs.select(nested(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_doc"), "text")
-    small = own.select("_doc", "text")
+    own = own.withColumn("bucket", doc_bucket_column(buckets))
+    small = own.select("_doc", "text", "bucket")
     first = written(repeated(find_anchors(small, hot_anchors(small), buckets), buckets), "anchors")
-    asked = fetch_contexts(with_blobs(small, first.where(F.col("kind") == REQUESTS), buckets), buckets)
+    asked = fetch_contexts(with_blobs(small, first.where(F.col("kind") == REQUESTS)), buckets)
     second = written(compare_contexts(asked, buckets), "marks")
     every = first.where(F.col("kind") == MARKS).unionByName(second)
-    rows = with_blobs(own.drop("text"), every, buckets)
+    rows = with_blobs(own.drop("text"), every)
     result_type = own.select("_row").schema.add("_kept", "binary").add("_removed", "long").add("_spans", "long")
     schema = pa.schema([("_kept", pa.binary()), ("_removed", pa.int64()), ("_spans", pa.int64())])
 
