@@ -26,8 +26,19 @@ def unit_key(zone: Column, address: Column) -> Column:
     return F.concat_ws("/", F.lit("units"), zone_or_default(zone), sanitized(address))
 
 
-def action_id(number: Column) -> Column:
-    return F.format_string("action-%d", number)
+def catalog_key(kind: str, name: Column) -> Column:
+    """The key of a dataset, timeline or action."""
+    return F.concat(F.lit(f"{kind}/"), name)
+
+
+def action_id(number: Column, ms: Column | None = None) -> Column:
+    """By number alone, or by the time it was submitted at and a number."""
+    return F.format_string("action-%d", number) if ms is None else F.format_string("action-%d-%d", ms, number)
+
+
+def lossy_text(value: Column) -> Column:
+    """Bytes as text; what is not UTF-8 becomes replacement characters."""
+    return F.make_valid_utf8(value.cast("string"))
 
 
 def endpoint(address: Column) -> Column:
@@ -73,7 +84,7 @@ def rendered(value: Column, kind: str) -> Column:
     if kind in ("float", "double"):
         text = F.regexp_replace(value.cast("string"), r"\.0$", "")
     elif kind == "binary":
-        text = F.make_valid_utf8(value.cast("string"))
+        text = lossy_text(value)
     elif kind in ("boolean", "int", "bigint", "string") or kind.startswith("varchar"):
         text = value.cast("string")
     else:

@@ -7,9 +7,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def commit_watermark(replicas: DataFrame) -> DataFrame:
-    """The least watermark over all replicas (timeline_id, u, lra)."""
-    return replicas.groupBy("timeline_id").agg(F.min("lra").alias("watermark"))
+#: The watermark of a timeline that no replica has answered for.
+NOTHING = -1
+
+
+def commit_watermark(replicas: DataFrame, timelines: DataFrame | None = None) -> DataFrame:
+    """The least watermark over all replicas (timeline_id, u, lra); of timelines (timeline_id) without any, -1."""
+    least = replicas.groupBy("timeline_id").agg(F.min("lra").alias("watermark"))
+    if timelines is None:
+        return least
+    return timelines.select("timeline_id").join(least, "timeline_id", "left").withColumn("watermark", F.coalesce("watermark", F.lit(NOTHING).cast("bigint")))
+
+
+def running_lra(applied: DataFrame, order: str) -> DataFrame:
+    """Each applied event with the greatest offset its timeline has had by then."""
+    return applied.withColumn("lra", F.max("off").over(W.partitionBy("timeline_id").orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
 
 
 def acknowledged(log: DataFrame, replicas: DataFrame, batch: int = 256) -> DataFrame:

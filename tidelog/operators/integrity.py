@@ -78,6 +78,23 @@ def summary(acked: DataFrame, reads: DataFrame) -> DataFrame:
     )
 
 
+def counters(acked: DataFrame, reads: DataFrame, rejected: DataFrame, interval_ms: int) -> DataFrame:
+    """What a verifier reports at the end of each interval: events written, read, verified (read as they were written) and refused
+    in it, each as a total so far, and the rates of writing and reading, whole events a second.
+
+    acked: (timeline_id, off, payload, ts_ms); reads: (timeline_id, off, payload, ts_ms); rejected: (ts_ms).
+    """
+    at = (F.floor(F.col("ts_ms") / interval_ms) * interval_ms).cast("bigint").alias("interval_ms")
+    expected = acked.select("timeline_id", "off", F.col("payload").alias("_expected"))
+    verified = reads.join(expected, ["timeline_id", "off"]).where("payload = _expected")
+    kinds = {"written": acked, "read": reads, "verified": verified, "errors": rejected}
+    counted = reduce(DataFrame.unionByName, (v.groupBy(at).agg(F.count("*").alias("n")).withColumn("kind", F.lit(k)) for k, v in kinds.items()))
+    each = counted.groupBy("interval_ms").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in kinds])
+    so_far = W.orderBy("interval_ms").rowsBetween(W.unboundedPreceding, 0)  # one row for each interval
+    rate = lambda c: F.floor(F.col(c) * 1000 / interval_ms).cast("bigint").alias(f"{c}_rate")
+    return each.select("interval_ms", *[F.sum(k).over(so_far).alias(k) for k in kinds], rate("written"), rate("read"))
+
+
 def divergence(copies: DataFrame) -> DataFrame:
     """Offsets at which replicas (timeline_id, off, u, payload) disagree."""
     return copies.groupBy("timeline_id", "off").agg(F.count_distinct("payload").alias("n_payloads")).where("n_payloads > 1")

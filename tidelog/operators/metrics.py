@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .running import running
+
 
 def rate(counters: DataFrame, keys: list[str], seconds: int) -> DataFrame:
     """Increase a second of counters (keys, ts_ms, value) in each window; a fall is a reset to 0."""
@@ -37,4 +39,28 @@ def histogram_quantile(buckets: DataFrame, keys: list[str], q: float) -> DataFra
 
 
 def quantiles(rows: DataFrame, keys: list[str], column: str, qs: list[float]) -> DataFrame:
-    return rows.groupBy(*keys).agg(*[F.percentile(column, F.lit(q)).alias(f"p{round(q * 100)}") for q in qs])
+    """Exact quantiles, interpolated between neighbours: values are counted, the counts summed up in order without one task
+    holding a key's values, and of the places on either side of a quantile the least value that reaches them is taken."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    placed = running(counts, keys, F.col("_v"), F.col("_n"), "_cum")
+    total = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    joined = placed.join(total, keys)
+    least = lambda at: F.min(F.when(F.col("_cum") > at, F.col("_v")))
+    ends = [(f"p{round(q * 100)}", (F.col("_total") - 1) * F.lit(q)) for q in qs]
+    found = joined.groupBy(*keys, "_total").agg(*[least(end(at)).alias(f"_{side}_{name}") for name, at in ends for side, end in (("low", F.floor), ("high", F.ceil))])
+    between = lambda name, at: F.col(f"_low_{name}") + (F.col(f"_high_{name}") - F.col(f"_low_{name}")) * (at - F.floor(at))
+    return found.select(*keys, *[between(name, at).alias(name) for name, at in ends])
+
+
+def up(rows: DataFrame, is_up: Column) -> DataFrame:
+    """One row: the share of what is up, and how many are not, or 0 if there is nothing."""
+    return rows.agg((F.count_if(is_up) / F.nullif(F.count("*"), F.lit(0))).alias("ratio"), F.coalesce(F.count_if(~is_up), F.lit(0)).alias("down"))
+
+
+def sum_by(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.sum(column).alias("total"))
+
+
+def load(used: DataFrame, capacity: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """The sum of a column over what there is room for (keys, capacity); null without capacity."""
+    return sum_by(used, keys, column).join(capacity, keys, "left").withColumn("load", F.col("total") / F.nullif(F.col("capacity"), F.lit(0)))

@@ -59,3 +59,35 @@ def aligned(copies: DataFrame, fenced: DataFrame) -> DataFrame:
     """What recovery keeps, the same on every unit."""
     least = fenced.groupBy("timeline_id").agg(F.coalesce(F.min("lra"), F.lit(0)).alias("lra"))
     return copies.join(least, "timeline_id").where("off <= lra").select("timeline_id", "off", "payload").distinct()
+
+
+def broadcast(sends: DataFrame, answers: DataFrame, segments: DataFrame) -> DataFrame:
+    """What each send to all members comes to: sends (timeline_id, off), segments with an ensemble array of u, answers (timeline_id, off, u, ok).
+
+    (timeline_id, off, n_members, n_acked, failed): members that refused or did not answer, in order; they go to quarantine.
+    """
+    members = route(sends.select("timeline_id", "off"), segments).select("timeline_id", "off", F.explode("ensemble").alias("u"))
+    joined = members.join(answers.select("timeline_id", "off", "u", "ok"), ["timeline_id", "off", "u"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    failed = F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("u"))))  # as many as an ensemble has members
+    return joined.groupBy("timeline_id", "off").agg(F.count("*").alias("n_members"), F.count_if("ok").alias("n_acked"), failed.alias("failed"))
+
+
+def retries(sends: DataFrame, acks: DataFrame, segments: DataFrame) -> DataFrame:
+    """Of each timeline the earliest send that a member has not acknowledged, and the members it is sent to again: (timeline_id, off, u)."""
+    members = route(sends.select("timeline_id", "off"), segments).select("timeline_id", "off", F.explode("ensemble").alias("u"))
+    missing = members.join(acks.select("timeline_id", "off", "u"), ["timeline_id", "off", "u"], "left_anti")
+    first = missing.groupBy("timeline_id").agg(F.min("off").alias("_first"))
+    return missing.join(first, "timeline_id").where("off = _first").drop("_first")
+
+
+def fence_retries(members: DataFrame, answers: DataFrame, tries: int = 5) -> DataFrame:
+    """Members (timeline_id, u) that no fence answer (timeline_id, u, attempt, answered) has come from, and the next attempt, or null after so many tries."""
+    sent = answers.groupBy("timeline_id", "u").agg(F.max("attempt").alias("_last"), F.max(F.col("answered").cast("int")).alias("_done"))
+    open_ = members.join(sent, ["timeline_id", "u"], "left").where("coalesce(_done, 0) = 0").withColumn("attempt", F.coalesce("_last", F.lit(0)) + 1)
+    return open_.select("timeline_id", "u", F.when(F.col("attempt") <= tries, F.col("attempt")).cast("bigint").alias("attempt"))
+
+
+def drained(sends: DataFrame, marks: DataFrame) -> DataFrame:
+    """What a writer that is closed tells of its sends (timeline_id, off): ACKED up to the committed offset, CANCELLED beyond."""
+    joined = sends.join(marks.select("timeline_id", "lra"), "timeline_id", "left")
+    return joined.select("timeline_id", "off", F.when(F.col("off") <= F.col("lra"), "ACKED").otherwise("CANCELLED").alias("status"))

@@ -44,7 +44,7 @@ def fetch_latest(log: DataFrame, watermarks: DataFrame) -> DataFrame:
 
 def fetch_by_index(log: DataFrame, index: DataFrame, key: str) -> DataFrame:
     """Events from each timeline's first offset of a key on; index as secondary_index() makes it."""
-    first = index.where(F.col("k") == key).select("timeline_id", F.array_min("offs").alias("_first"))
+    first = index.where(F.col("k") == key).select("timeline_id", "off").groupBy("timeline_id").agg(F.min("off").alias("_first"))
     return log.join(first, "timeline_id").where(F.col("off") >= F.col("_first")).drop("_first")
 
 
@@ -60,6 +60,18 @@ def chunks(log: DataFrame, size: int = CHUNK) -> DataFrame:
     return framed.withColumn("chunk_type", kind).withColumn("advanced_off", F.col("last_off") + 1)
 
 
+def frames(log: DataFrame, requests: DataFrame, size: int = CHUNK) -> DataFrame:
+    """What requests (request_id, timeline_id, start, end) are answered: chunks as chunks() frames them, or one FULL chunk without
+    events whose next read begins at start; a request whose end is before its start is answered INVALID_ARGUMENT."""
+    good = requests.where("end >= start")
+    asked = good.select(F.col("request_id"), F.col("timeline_id").alias("_timeline"), "start", "end")
+    own = log.join(asked, (F.col("timeline_id") == F.col("_timeline")) & (F.col("off") >= F.col("start")) & (F.col("off") < F.col("end")))
+    found = chunks(own.select(F.col("request_id").alias("timeline_id"), "off"), size).withColumnRenamed("timeline_id", "request_id").select("request_id", "chunk", "first_off", "last_off", "n_events", "chunk_type", "advanced_off")
+    none = lambda kind, rows: rows.select("request_id", F.lit(0).cast("bigint").alias("chunk"), *[F.lit(None).cast("bigint").alias(c) for c in ("first_off", "last_off")], F.lit(0).cast("bigint").alias("n_events"), F.lit(kind).alias("chunk_type"), F.col("start").alias("advanced_off"))
+    empty = good.join(found.select("request_id").distinct(), "request_id", "left_anti")
+    return found.unionByName(none("FULL", empty)).unionByName(none("INVALID_ARGUMENT", requests.where("end < start")))
+
+
 def with_ends(segments: DataFrame) -> DataFrame:
     """Segments (timeline_id, start_offset, ...) with their implicit end, exclusive."""
     following = F.lead("start_offset").over(W.partitionBy("timeline_id").orderBy("start_offset"))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .running import running
+
 
 def by_age(log: DataFrame, max_age_ms: int) -> DataFrame:
     """Events at most so much older than the newest of their timeline."""
@@ -15,8 +16,8 @@ def by_age(log: DataFrame, max_age_ms: int) -> DataFrame:
 
 def by_bytes(log: DataFrame, max_bytes: int) -> DataFrame:
     """The newest events of each timeline whose payloads together fit."""
-    running = F.sum(F.octet_length("payload")).over(W.partitionBy("timeline_id").orderBy(F.desc("off")).rowsBetween(W.unboundedPreceding, 0))
-    return log.withColumn("_bytes", running).where(F.col("_bytes") <= max_bytes).drop("_bytes")
+    held = running(log, ["timeline_id"], -F.col("off"), F.octet_length("payload").cast("bigint"), "_bytes")
+    return held.where(F.col("_bytes") <= max_bytes).drop("_bytes")
 
 
 def latest_per_key(log: DataFrame) -> DataFrame:
@@ -31,8 +32,8 @@ def committed(log: DataFrame, markers: DataFrame) -> DataFrame:
 
 
 def secondary_index(log: DataFrame) -> DataFrame:
-    """Offsets of each key, ascending."""
-    return log.groupBy("timeline_id", "k").agg(F.array_sort(F.collect_list("off")).alias("offs"))
+    """Rows (timeline_id, k, off), clustered by key and ascending in each partition: no row grows with a key's events."""
+    return log.select("timeline_id", "k", "off").repartition("timeline_id", "k").sortWithinPartitions("timeline_id", "k", "off")
 
 
 def refreshed(state: DataFrame, delta: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from .. import functions as fn
 from ..functions import codec
 from ..operators import commit, integrity, metrics, model, placement, reads, retention, scan, writes
 from ..streaming import batches
-from . import extensions, views
+from . import control, extensions, views
 from .views import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -342,7 +342,7 @@ def retain_bytes(spark, d):
     return retention.by_bytes(views.log(spark, d), 200).select("timeline_id", "off")
 
 
-@registered(sql("SELECT timeline_id, k, list(off ORDER BY off) AS offs FROM log GROUP BY 1, 2", "log"))
+@registered(sql("SELECT timeline_id, k, off FROM log", "log"))
 def secondary_index(spark, d):
     return retention.secondary_index(views.log(spark, d))
 
@@ -444,8 +444,8 @@ streamed(
 
 
 def queries() -> dict[str, Query]:
-    return {k: q for k, (q, _) in (REGISTERED | extensions.REGISTERED).items()}
+    return {k: q for k, (q, _) in (REGISTERED | control.REGISTERED | extensions.REGISTERED).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: o for k, (_, o) in (REGISTERED | extensions.REGISTERED).items() if o}
+    return {k: o for k, (_, o) in (REGISTERED | control.REGISTERED | extensions.REGISTERED).items() if o}

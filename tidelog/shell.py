@@ -1,4 +1,5 @@
-"""SQL from the command line: ``python -m tidelog.shell [--data FOLDER] [-e SQL]``; tab-separated rows without a header."""
+"""Commands: ``python -m tidelog.shell [--data FOLDER] [-e SQL]`` runs SQL and prints tab-separated rows without a header;
+``python -m tidelog.shell verify --root FOLDER`` writes to timelines, reads back and reports what does not hold."""
 
 from __future__ import annotations
 
@@ -41,14 +42,23 @@ def register(spark: SparkSession, folder: str) -> None:
             spark.read.parquet(s.getPath().toString()).createOrReplaceTempView(name.removesuffix(".parquet"))
 
 
+def session(options: dict) -> SparkSession:
+    return SparkSession.builder.master(options.get("master", "local[*]")).config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+
+
 def main(argv: list[str] | None = None) -> int:
+    argv = sys.argv[1:] if argv is None else argv
+    if argv[:1] == ["verify"]:
+        from .verify import main as verify
+
+        return verify(argv[1:])
     parser = argparse.ArgumentParser(prog="tidelog.shell")
     parser.add_argument("--config")
     parser.add_argument("--data")
     parser.add_argument("-e", "--execute")
     args = parser.parse_args(argv)
     options = load_options(args.config)
-    spark = SparkSession.builder.master(options.get("master", "local[*]")).config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = session(options)
     if folder := args.data or options.get("data"):
         register(spark, folder)
     if args.execute is not None:

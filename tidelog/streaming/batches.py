@@ -14,6 +14,8 @@ from . import streams
 def folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tidelog-stream-{uuid.uuid4().hex}"
@@ -60,3 +62,24 @@ def deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def commit_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_state(drained(streams.commit_state(events(spark, sf_dir)), "update"), ["timeline_id"])
+
+
+def resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events taken in two runs with one checkpoint: the second goes on where the first ended, and nothing comes twice."""
+    at, source = folder(spark), f"{folder(spark)}/in"
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
+    for half in (0, 1):
+        rows.where(F.col("event_id") % 2 == half).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source).withColumn("run", F.lit(half))
+        stream.writeStream.option("checkpointLocation", f"{at}/state").option("path", f"{at}/rows").format("parquet").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id long, user_id long, run int").parquet(f"{at}/rows").select("event_id", F.col("run").cast("bigint").alias("run"))
+
+
+def throttled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many files and rows each trigger takes, two files at most, of the events in six."""
+    source, schema = f"{folder(spark)}/in", "event_id long, part int"
+    parts = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("event_id") % 6).cast("int").alias("part"))
+    for p in range(6):
+        parts.where(F.col("part") == p).coalesce(1).write.mode("append").parquet(source)
+    rows = drained(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source))
+    return rows.groupBy("epoch").agg(F.count("*").alias("n"), F.count_distinct("part").alias("files")).withColumn("epoch", F.col("epoch").cast("bigint"))
