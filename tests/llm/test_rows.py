@@ -157,11 +157,11 @@ def test_best_fit():
         assert sorted(most - sum(sizes[i] for i in r) for r in got) == sorted(room)
 
 
-def test_packing(docs, fixture_rows, none, processor, tmp_path):
+def test_packing(spark, docs, fixture_rows, none, processor, tmp_path):
     packed = packing.pack(docs, most=64)
     parts: dict = {}
     for r in packed.collect():
-        ids, positions = np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["positions"], np.uint32)
+        ids, positions = np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["positions"], np.uint16)
         assert len(ids) == len(positions) == 64 and r["cu_seqlens"][0] == 0 and r["cu_seqlens"][-1] == r["n_tokens"] and not ids[r["n_tokens"] :].any()
         for d, s, a, b in zip(r["doc_ids"], r["doc_starts"], r["cu_seqlens"], r["cu_seqlens"][1:]):
             assert positions[a:b].tolist() == list(range(b - a))
@@ -170,12 +170,17 @@ def test_packing(docs, fixture_rows, none, processor, tmp_path):
         expected = processor.encode(t or "")
         if i is not None:
             assert [x for _, y in sorted(parts.get(i, [])) for x in y] == (expected + [2] if expected else [])
-    files = packing.write_matrices(packed, f"file://{tmp_path}/m").collect()
-    for f in files:
+    files = packing.write_matrices(packed, f"file://{tmp_path}/m")
+    files = spark.createDataFrame(files.collect(), files.schema)
+    for f in files.collect():
         at = f["path"].removeprefix("file://")
         matrix = np.fromfile(f"{at}.ids.bin", np.uint16).reshape(-1, 64)
-        starts, lengths = np.fromfile(f"{at}.rows.bin", np.uint64), np.fromfile(f"{at}.cu_seqlens.bin", np.int32)
-        assert len(matrix) == len(starts) == f["n_rows"] and (lengths[starts.astype(int)] == 0).all()
+        starts, lengths = np.fromfile(f"{at}.rows.bin", packing.ROWS)["at"], np.fromfile(f"{at}.cu_seqlens.bin", np.int32)
+        assert len(matrix) == len(starts) == f["n_rows"] and (lengths[starts] == 0).all()
+    assert sorted(map(str, packing.read_matrices(files).collect())) == sorted(map(str, packed.collect()))
+    whole = packing.op1(docs)
+    assert sorted(r["n_tokens"] for r in whole.collect()) == sorted(r["n_tokens"] for r in packing.pack(docs).collect())
+    assert packing.pack(docs, most=1 << 17).select("positions").first()[0][:8] == bytes([0, 0, 0, 0, 1, 0, 0, 0])
     assert packing.op1(none).count() == 0
 
 
