@@ -361,7 +361,7 @@ def test_sum_of_squares_identity():
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/", "<p>x</p>"), (2, None, "<p>x</p>"), (9, "u\r\nx%0A", "<p>x</p>"), (3, "http://b/", None), (4, "http://b/", ""), (5, "http://c/", "é" * 3000), (None, "http://d/", "<p>x</p>"), (6, "http://d/", "lone"), (6, "http://d/", "lone"), (7, "", "WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).repartition(3)
-    got = warc.round_trip(frame, folder=f"file://{tmp_path}/w").collect()
+    got = warc.round_trip(frame, folder=f"file://{tmp_path}/x.mono.warc.gz.d/w").collect()
     best: dict = {}
     for i, _, h in rows:
         best[h or ""] = max(best.get(h or "", -1), -1 if i is None else i)
@@ -373,7 +373,7 @@ def test_warc(spark, tmp_path):
     assert sorted(((*r[:6], bytes(r[6])) for r in got), key=str) == sorted(expected, key=str)
     import gzip
 
-    for f in tmp_path.glob("w/*[0-9].warc.gz"):  # each member alone is a record
+    for f in tmp_path.glob("x.mono.warc.gz.d/w/*[0-9].warc.gz"):  # each member alone is a record
         whole = f.read_bytes()
         for line in f.with_suffix("").with_suffix(".idx").read_text().splitlines():
             at, n, _ = line.split(" ", 2)

@@ -135,7 +135,8 @@ def normalise(files: DataFrame) -> DataFrame:
     """Each monolithic file as a file of one member a record, and its sidecar index; returns the new files."""
 
     def one(path: str) -> tuple[str, str, int]:
-        new, index, at, n = path.replace(".mono.", "."), path.replace(".mono.warc.gz", ".idx"), 0, 0
+        whole = path.removesuffix(".mono.warc.gz")
+        new, index, at, n = f"{whole}.warc.gz", f"{whole}.idx", 0, 0
         source, name = fs.FileSystem.from_uri(path)
         with source.open_input_stream(name, compression=None) as stream, Moved(new) as out, Moved(index) as lines:
             for data in records(inflated(stream)):
