@@ -280,9 +280,10 @@ def ensembles(spark, d):
     return views.segs(spark, d).withColumn("ensemble", two)
 
 
-@registered(sql("SELECT timeline_id, off, count(DISTINCT u) AS n_units FROM copies JOIN marks USING (timeline_id) WHERE off <= lra GROUP BY 1, 2 HAVING n_units < 3", "log", "replicas", copies=COPIES, marks=MARKS))
+@registered(sql("SELECT l.timeline_id, l.off, count(DISTINCT c.u) AS n_units FROM log l JOIN marks m ON l.timeline_id = m.timeline_id LEFT JOIN (SELECT * FROM copies WHERE off % 29 <> 0) c ON l.timeline_id = c.timeline_id AND l.off = c.off WHERE l.off <= lra GROUP BY 1, 2 HAVING n_units < 3", "log", "replicas", copies=COPIES, marks=MARKS))
 def model_under_replicated(spark, d):
-    return model.under_replicated(copies(spark, d), views.log(spark, d), marks(spark, d), 3)
+    """Offsets that one of three units lacks, and some that none has."""
+    return model.under_replicated(copies(spark, d).where("off % 29 <> 0"), views.log(spark, d), marks(spark, d), 3)
 
 
 @registered(
@@ -420,11 +421,23 @@ def tsv_render(spark, d):
     return own.select("timeline_id", "off", F.concat_ws("\t", *[fn.rendered(F.col(c), t) for c, t in own.dtypes]).alias("line"))
 
 
-@registered(sql("SELECT timeline_id, off, 'FULL' AS record_type, timeline_id AS log_number, md5(payload) AS digest FROM log", "log"))
+@registered(
+    sql(
+        """SELECT timeline_id, off, 11 + strlen(payload) AS n_bytes, CASE WHEN off % 9 = 0 THEN 'checksum' WHEN off % 10 = 0 THEN 'header' END AS damage,
+        CASE WHEN off % 9 <> 0 AND off % 10 <> 0 THEN CASE off % 4 WHEN 0 THEN 'FULL' WHEN 1 THEN 'FIRST' WHEN 2 THEN 'MIDDLE' ELSE 'LAST' END END AS record_type,
+        CASE WHEN off % 9 <> 0 AND off % 10 <> 0 THEN timeline_id * 1000 + off END AS log_number, CASE WHEN off % 9 <> 0 AND off % 10 <> 0 THEN md5(payload) END AS digest FROM log""",
+        "log",
+    )
+)
 def codec_roundtrip(spark, d):
-    own = views.log(spark, d).select("timeline_id", "off", F.lit("FULL").alias("record_type"), F.col("timeline_id").alias("log_number"), F.col("payload").cast("binary").alias("data"))
-    back = codec.decoded(codec.encoded(own))
-    return back.select("timeline_id", "off", "record_type", "log_number", F.md5("data").alias("digest"))
+    """Records of all types; of some a byte of the data is changed, some are cut within the header."""
+    kind = F.element_at(F.array(*map(F.lit, ("FULL", "FIRST", "MIDDLE", "LAST"))), (F.col("off") % 4 + 1).cast("int"))
+    own = views.log(spark, d).select("timeline_id", "off", kind.alias("record_type"), (F.col("timeline_id") * 1000 + F.col("off")).alias("log_number"), F.col("payload").cast("binary").alias("data"))
+    made = codec.encoded(own).withColumn("n_bytes", F.octet_length("record").cast("bigint"))
+    changed = F.concat(F.expr("substring(record, 1, n_bytes - 1)"), F.unhex(F.lit("00")))
+    damaged = F.when(F.col("off") % 9 == 0, changed).when(F.col("off") % 10 == 0, F.substring("record", 1, 10)).otherwise(F.col("record"))
+    back = codec.decoded(made.withColumn("record", damaged))
+    return back.select("timeline_id", "off", "n_bytes", F.regexp_extract("error", "checksum|header", 0).alias("damage"), "record_type", "log_number", F.md5("data").alias("digest"))
 
 
 def streamed(name: str, oracle: str, build: Callable) -> None:

@@ -488,7 +488,7 @@ def message_codec(spark, d):
 # Streams
 
 REGISTERED["stream_resume"] = batches.resumed, "SELECT event_id, event_id % 2 AS run FROM events"
-REGISTERED["stream_backpressure"] = batches.throttled, None
+REGISTERED["stream_backpressure"] = batches.throttled, "SELECT unnest([CAST(0 AS BIGINT), 1, 2]) AS epoch, CAST(2 AS BIGINT) AS files"
 
 
 @registered("SELECT CAST(count(*) AS BIGINT) AS rows, true AS has_rates FROM events")
