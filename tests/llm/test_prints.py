@@ -68,7 +68,7 @@ def texts(n):
 
 
 def rows_of(df):
-    return sorted((tuple(r) for r in df.collect()), key=str)
+    return sorted((tuple(r) for r in df.drop("near_class").collect()), key=str)
 
 
 @pytest.mark.parametrize("parts", [4, 300, 2000])
@@ -101,3 +101,38 @@ def test_bisection_finds_each_bucket(spark):
         df = spark.createDataFrame(keys, "o long, h long").selectExpr("*", "struct(o, h) AS k")
         got = df.select("o", "h", edit_embedding.bucket_of(df["k"], cuts).alias("b")).collect()
         assert all(r["b"] == sum(c <= (r["o"], r["h"]) for c in cuts) for r in got)
+
+
+@pytest.mark.parametrize("block, texts_of", [(512, 1500), (3, 400)])
+def test_near_classes(spark, monkeypatch, block, texts_of):
+    """Recall of links against all pairs of fingerprints, and no class without links."""
+    monkeypatch.setattr(edit_embedding, "BLOCK", block)
+    rng, walk = random.Random(11), edit_embedding.Walk()
+    rows = []
+    while len(rows) < texts_of:
+        base = "".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.choice([5, 40, 300, 900])))
+        rows.append(base)
+        for _ in range(rng.choice([0, 0, 1, 4])):
+            x = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                x[rng.randrange(len(x))] = rng.choice("#$%")
+            rows.append("".join(x))
+    prints = edit_embedding.fingerprints(rows, walk)
+    near = walk.likenesses(prints, prints) >= 0.8
+    df = spark.createDataFrame([*enumerate(prints), (None, prints[0])], "doc_id long, fingerprint string")
+    found = {r["doc_id"]: r["near_class"] for r in edit_embedding.near_classes(df).collect()}
+    label = [found.get(i, i) for i in range(len(rows))]
+    same = np.equal.outer(label, label)
+    pairs = np.triu(near, 1)
+    assert pairs.sum() > 100 and (pairs & same).sum() / pairs.sum() >= 0.95
+    true = list(range(len(rows)))
+    for _ in range(30):  # the components of all links
+        true = [min(true[j] for j in np.flatnonzero(near[i])) for i in range(len(rows))]
+    assert all(true[i] == true[j] for i, j in found.items()) and all(j < i for i, j in found.items())
+
+
+def test_near_classes_of_the_query(spark):
+    text = "".join(random.Random(1).choice("abcdefgh ") for _ in range(500))
+    rows = [(5, text), (3, text), (9, text[:250] + "#" + text[250:]), (4, "other words"), (None, text), (2, None), (1, "")]
+    got = {r["doc_id"]: r["near_class"] for r in edit_embedding.op8(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: 3, 3: 3, 9: got[9], 4: 4, None: None, 2: 1, 1: 1}

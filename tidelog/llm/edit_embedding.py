@@ -13,6 +13,12 @@ Whole texts are walked, however long. A null text is an empty one; two empty tex
 alike (1.0), an empty and another are not (0.0). Equal texts have equal fingerprints.
 The next document is the one with the next smaller doc_id (null is smallest; equal ids
 follow each other by a hash of the text), after the last comes the first.
+
+Near documents are found by bands of sampled bits: equal fingerprints are one class, two
+classes meet where all bits of a band are the same, and what met is verified by likeness.
+A band has more bits the more classes there are, so that buckets stay small, and there are
+as many bands as a pair at the bound needs to meet with the chance RECALL. Documents
+without an id take no part.
 """
 
 from __future__ import annotations
@@ -26,10 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import even, parts_of, tidied
+from .common import even, parts_of, row_parts, tidied, written
+from .graph import components, roots
 
 SAMPLES, LEVELS, SEED = 64, 40, 8
 CLASSES, PERIOD = 256, 4096
@@ -40,6 +48,8 @@ PART_BYTES = 8 << 20
 BUCKET_BYTES = 256 << 20
 #: Classes of a bucket that are compared with as many others at a time.
 BLOCK = 512
+#: Chance that a pair of just the likeness asked for meets in some band.
+RECALL = 0.95
 
 
 class Walk:
@@ -169,7 +179,7 @@ def bucket_of(key: Column, cuts: list[tuple[int, int]]) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (_bucket, _ahead, doc_id, text) sorted in each partition; behind each bucket's rows stands the one its last row looks ahead to.
+    """Rows (_bucket, _ahead, doc_id, z) sorted in each partition, z the compressed text; behind each bucket's rows stands the one its last row looks ahead to.
 
     Buckets are ranges of (id, hash of the text), so that rows of one id are dealt as well; only rows
     equal in both stay together. As many figures as there are buckets reach the driver; a bucket has
@@ -187,14 +197,24 @@ def with_next(docs: DataFrame) -> DataFrame:
     for o, group in itertools.groupby(sorted(found)):  # an id that is several cuts is cut by hash
         k = len(list(group))
         cuts += [(o, -(2**63) + (j << 64) // k) for j in range(k)]
-    rows = rows.withColumn("_bucket", bucket_of(F.struct(F.col("_o").alias("o"), F.col("_h").alias("h")), cuts).cast("int"))
-    heads = sorted((r["_bucket"], r["m"]["o"], r["m"]["h"]) for r in rows.groupBy("_bucket").agg(F.min(F.struct(F.col("_o").alias("o"), F.col("_h").alias("h"))).alias("m")).collect())
+    place = F.struct(F.col("_o").alias("o"), F.col("_h").alias("h"))
+    rows = rows.withColumn("_bucket", bucket_of(place, cuts).cast("int"))
+    heads = sorted((r["_bucket"], r["m"]["o"], r["m"]["h"]) for r in rows.groupBy("_bucket").agg(F.min(place).alias("m")).collect())
     looks = [{"o": o, "h": h, "b": heads[i - 1][0]} for i, (_, o, h) in enumerate(heads)]  # for the bucket before; the first row for the last one
     targets = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(looks)), "array<struct<o:bigint,h:bigint,b:int>>")))
     met = rows.join(F.broadcast(targets), (F.col("_o") == F.col("o")) & (F.col("_h") == F.col("h")))  # as many rows as buckets
     ahead = met.groupBy("b").agg(F.min("text").alias("text"), F.min("doc_id").alias("doc_id"), F.min("_o").alias("_o"), F.min("_h").alias("_h"))
     both = rows.withColumn("_ahead", F.lit(0)).unionByName(ahead.withColumnRenamed("b", "_bucket").withColumn("_ahead", F.lit(1)))
-    return even(both, "_bucket", n).sortWithinPartitions("_bucket", "_ahead", "_o", "_h", "text")
+
+    def squeezed(batches):
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for b in row_parts(iter([batch]), "text", PART_BYTES):
+                z = pa.array([squeeze.compress(t.encode()) for t in b.column("text").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("_bucket", "_ahead", "doc_id", "_o", "_h")), z], names=["_bucket", "_ahead", "doc_id", "_o", "_h", "z"])
+
+    small = both.select("_bucket", "_ahead", "doc_id", "_o", "_h", "text").mapInArrow(tidied(squeezed), "_bucket int, _ahead int, doc_id long, _o long, _h long, z binary")
+    return even(small, "_bucket", n).sortWithinPartitions("_bucket", "_ahead", "_o", "_h")
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -206,9 +226,10 @@ def compare_next(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
     def pairs(batches) -> Iterator[tuple[list, list]]:
         """Texts in order, in parts, and for each the index of the next one in its part, -1 for a text that is only looked at."""
-        rows, size = [], 0
+        rows, size, inflate = [], 0, zstandard.ZstdDecompressor()
         for b in batches:
-            for x in zip(b.column("_bucket").to_pylist(), b.column("_ahead").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            for *x, z in zip(b.column("_bucket").to_pylist(), b.column("_ahead").to_pylist(), b.column("doc_id").to_pylist(), b.column("z").to_pylist()):
+                x.append(inflate.decompress(z).decode())
                 rows.append(x)
                 size += len(x[3])
                 if size > PART_BYTES and not x[1]:
@@ -236,7 +257,7 @@ def compare_next(docs: DataFrame, seed: int = SEED) -> DataFrame:
                 [walk.likeness(prints[i], c) for i, c in zip(own, changed)], [walk.likeness(prints[i], prints[i + 1]) for i in own],
             ), schema)], schema=schema)
 
-    return with_next(docs).select("_bucket", "_ahead", "doc_id", "text").mapInArrow(tidied(work), OUT)
+    return with_next(docs).select("_bucket", "_ahead", "doc_id", "z").mapInArrow(tidied(work), OUT)
 
 
 def fingerprint(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -261,21 +282,6 @@ def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, bits: int
     of n costs n * (n - 1) / 2 comparisons, over several tasks, and n / BLOCK copies of its rows.
     """
 
-    def keys(batches):
-        walk, rng = Walk(seed), np.random.default_rng(seed + 1)
-        draws = rng.random((bands, bits))
-        for b in batches:
-            out = []
-            for i, p in zip(b.column("doc_id").to_pylist(), b.column("fingerprint").to_pylist()):
-                end, held = p.split(":")
-                n = int(np.searchsorted(walk.at, int(end, 16)))
-                got = np.unpackbits(np.frombuffer(bytes.fromhex(held), np.uint8))[:n]
-                for level, low, span in walk.windows(n, least):
-                    for k in range(bands):
-                        at = low + (draws[k] * span).astype(int)
-                        out.append((i, p, f"{k}:{level}:" + "".join(map(str, got[at]))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ([], [], []), (pa.int64(), pa.string(), pa.string()))], names=["doc_id", "fingerprint", "key"])
-
     def verify(batches):
         walk = Walk(seed)
         for (_, i, j), (blocks, ids, held) in meetings(batches):
@@ -290,7 +296,7 @@ def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, bits: int
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(near[r, c])], names=["doc_id", "other_id", "near"])
 
     classes = prints.where("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "fingerprint")
-    keyed = classes.mapInArrow(tidied(keys), "doc_id long, fingerprint string, key string")
+    keyed = classes.mapInArrow(tidied(lambda batches: band_keys(batches, least, bands, bits, seed, True)), "key long, doc_id long, fingerprint string")
     dealt = F.ceil(F.col("n") / BLOCK).cast("int")
     blocks = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").withColumn("block", F.pmod(F.xxhash64("fingerprint"), dealt).cast("int"))
     sides = blocks.select("*", F.explode(F.sequence(F.lit(0), dealt - 1)).alias("_other")).select("key", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "doc_id", "fingerprint")
@@ -319,6 +325,83 @@ def meetings(batches) -> Iterator[tuple[tuple, tuple[np.ndarray, np.ndarray, lis
         yield tuple(group), columns()
 
 
+def band_keys(batches, least: float, bands: int, bits: int, seed: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """(key, doc_id), and the fingerprint as well with whole, of each band of each window of (doc_id, fingerprint)."""
+    walk, rng = Walk(seed), np.random.default_rng(seed + 1)
+    draws = rng.random((bands, bits))
+    mix, band = rng.integers(1, 2**63, (bands, bits), dtype=np.uint64) | np.uint64(1), np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for b in batches:
+        key, doc, held = [], [], []
+        for i, p in zip(b.column("doc_id").to_pylist(), b.column("fingerprint").to_pylist()):
+            end, packed = p.split(":")
+            n = int(np.searchsorted(walk.at, int(end, 16)))
+            got = np.unpackbits(np.frombuffer(bytes.fromhex(packed), np.uint8))[:n]
+            for level, low, span in walk.windows(n, least):
+                h = np.where(got[low + (draws * span).astype(np.int64)] if span else np.zeros((bands, bits), bool), mix, 0).sum(1, dtype=np.uint64)
+                h = (h ^ band ^ np.uint64(level << 48)) * np.uint64(0xD6E8FEB86659FD93)
+                key.append(h ^ (h >> np.uint64(32)))
+                doc.append(np.full(bands, i))
+                held += [p] * bands if whole else []
+        if key:
+            columns = [pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(doc).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array(held, pa.string())] if whole else []), names=["key", "doc_id"] + (["fingerprint"] if whole else []))
+
+
+def sharing(batches) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, doc_id) sorted by key those whose key others have as well, and how many came before."""
+    key, first, rank = None, None, 0
+    for b in batches:
+        k, d = b.column("key").to_numpy(), b.column("doc_id").to_numpy()
+        if not len(k):
+            continue
+        begins = np.concatenate([[k[0] != key], k[1:] != k[:-1]])
+        at = np.maximum.accumulate(np.where(begins, np.arange(len(k)), -1))
+        ranks = np.where(at < 0, np.arange(len(k)) + rank + 1, np.arange(len(k)) - at)
+        firsts = np.where(at < 0, first if first is not None else 0, d[np.maximum(at, 0)])
+        use = ranks > 0
+        second = ranks == 1  # the first member goes with the second
+        columns = (np.concatenate([k[use], k[second]]), np.concatenate([d[use], firsts[second]]), np.concatenate([ranks[use], np.zeros(int(second.sum()), np.int64)]))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "doc_id", "rank"])
+        key, first, rank = k[-1], int(firsts[-1]), int(ranks[-1])
+
+
+def near_classes(prints: DataFrame, least: float = 0.8, recall: float = RECALL, seed: int = SEED) -> DataFrame:
+    """(doc_id, near_class) of the documents (doc_id, fingerprint) that a smaller id stands for: the smallest that links of likeness least or more lead to.
+
+    A bucket is verified in pairs of blocks of BLOCK classes, over several tasks, and gives what hangs
+    together there, never its pairs.
+    """
+
+    def verify(batches):
+        walk = Walk(seed)
+        for _, (blocks, ids, held) in meetings(batches):
+            a, b = np.nonzero(np.triu(walk.likenesses(held, held) >= least, 1))
+            if len(a):
+                nodes, low = roots(ids[a], ids[b])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[nodes != low]), pa.array(low[nodes != low])], names=["a", "b"])
+
+    known = prints.where("doc_id IS NOT NULL").select("doc_id", "fingerprint")
+    classes = written(known.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "fingerprint"), "classes")
+    bits = max(12, classes.count().bit_length())
+    bands = math.ceil(math.log(1 - recall) / math.log(1 - ((1 + least) / 2) ** bits))
+    keyed = classes.mapInArrow(tidied(lambda batches: band_keys(batches, least, bands, bits, seed, False)), "key long, doc_id long")
+    met = written(keyed.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(tidied(sharing), "key long, doc_id long, rank long"), "met")
+    large = met.where((F.col("rank") > 0) & (F.col("rank") % BLOCK == 0)).groupBy("key").agg((F.max("rank") / BLOCK).cast("int").alias("last"))
+    if large.limit(1).count():
+        sized = met.join(large, "key", "left").withColumn("last", F.coalesce("last", F.lit(0)))
+    else:
+        sized = met.withColumn("last", F.lit(0))
+    block = F.floor(F.col("rank") / BLOCK).cast("int").alias("block")
+    sides = sized.select("key", "doc_id", block, F.explode(F.sequence(F.lit(0), "last")).alias("_other")).select("key", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "doc_id")
+    placed = sides.join(classes, "doc_id").select("key", "i", "j", "block", "doc_id", "fingerprint").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    label = components(placed.mapInArrow(tidied(verify), "a long, b long")).withColumnRenamed("id", "rep")
+    name = F.struct(F.xxhash64("fingerprint").alias("a"), F.xxhash64(F.lit(1), "fingerprint").alias("b")).alias("name")
+    named = classes.select(F.col("doc_id").alias("rep"), name).join(label, "rep", "left").select("name", F.coalesce("component", "rep").alias("near_class"))
+    return known.select("doc_id", name).join(named, "name").where("near_class <> doc_id").groupBy("doc_id").agg(F.min("near_class").alias("near_class"))
+
+
 def op8(docs: DataFrame) -> DataFrame:
-    """The digest of compare_next()."""
-    return compare_next(docs)
+    """The digest of compare_next(), and near_class, the smallest doc_id that near documents lead to; null without an id."""
+    found = written(compare_next(docs), "prints")
+    near = near_classes(found).withColumnRenamed("doc_id", "_id")
+    return found.join(near, found["doc_id"] == near["_id"], "left").drop("_id").withColumn("near_class", F.coalesce("near_class", "doc_id"))
