@@ -221,6 +221,37 @@ def test_event_log_source(spark, catalog, tmp_path):
     assert rows.count() == 50 and rows.where("off >= 10 AND off < 13").count() == 3
 
 
+def test_committed_events_as_a_batch_and_as_a_stream(spark, catalog, tmp_path):
+    from tidelog.sources import EventLogSource
+
+    t = Timeline(catalog, f"file://{tmp_path}/data", "s")
+    batch = lambda n: [(b"%d" % n, None, None)] * 5
+    t.record_batch(batch(1))
+    spark.dataSource.register(EventLogSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    options = {"catalog": catalog.store.root, "timeline": "s"}
+    seen = lambda: sorted((r["off"], bytes(r["payload"])) for r in spark.read.format("eventlog").options(**options).load().collect())
+    assert seen() == [(o, b"1") for o in range(1, 6)]
+
+    def streamed():
+        rows = spark.readStream.format("eventlog").options(**options).load().select("off", "payload")
+        rows.writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).format("parquet").start(f"{tmp_path}/out").awaitTermination()
+        return sorted((r["off"], bytes(r["payload"])) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    assert streamed() == seen()
+    again = Timeline(catalog, f"file://{tmp_path}/data", "s")
+    catalog.store.put("manifests", f"s/{6:019d}-{t.term}-dead", {"start": 6, "end": 11, "term": t.term, "path": t._manifests()[0]["path"]}, None)
+    again.record_batch(batch(2))
+    assert seen() == [(o, b"1" if o < 6 else b"2") for o in range(1, 11)] == streamed()
+    again.truncate(3)
+    again.record_batch(batch(3))
+    assert seen() == [(o, b"1" if o < 4 else b"3") for o in range(1, 9)]
+    assert spark.read.format("eventlog").options(catalog=catalog.store.root, timeline="none").load().count() == 0
+    again.close()
+    with pytest.raises(ReadOnly):
+        again.record(b"late")
+
+
 def test_ensemble_of_a_new_timeline(catalog, tmp_path):
     for i in range(3):
         catalog.register_unit(f"u{i}", zone=f"z{i}")

@@ -208,7 +208,7 @@ def index_names(spark, d):
     rows = views.table(spark, d, "region").where("r_regionkey < 3").select("r_name", "r_regionkey")
     for r in rows.collect():
         catalog.create_dataset(Dataset(r["r_name"], EVENTS, Policies(indexes=("z_key", f"by_{r['r_name'].lower()}", "a_key"))))
-    names = [(x.name, n) for x in catalog.list_datasets() for n in DatasetClient(catalog, root, x.name).index_names]
+    names = [(x.name, n) for x in catalog.datasets_with_index("a_key") for n in DatasetClient(catalog, root, x.name).index_names]
     return spark.createDataFrame(names, "dataset string, index_name string").join(rows, F.col("dataset") == F.col("r_name")).select("dataset", "index_name", F.col("r_regionkey").alias("id"))
 
 

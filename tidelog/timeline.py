@@ -248,6 +248,10 @@ class Timeline:
         """The log's files as a stream; unlike fetch() it also sees files of appends that lost their manifest, so join it with the watermark."""
         return self.spark.readStream.schema(EVENT).option("recursiveFileLookup", True).parquet(f"{self.root}/log/{self.timeline_id}")
 
+    def close(self) -> None:
+        """Ends this writer; reading goes on."""
+        self.readonly = True
+
     def drop(self) -> None:
         """Deletes the timeline with its segments, manifests and files."""
         got = self.catalog.get_timeline(self.name)
