@@ -9,10 +9,10 @@ from .. import functions as fn
 from ..catalog import Catalog
 from ..dataset import DatasetClient
 from ..errors import InvalidTerm, VersionConflict
-from ..functions import codec, segment_files, wire
+from ..functions import segment_files, wire
 from ..operators import commit, integrity, metrics, model, placement, reads, retention, scan, writes
 from ..streaming import batches
-from ..timeline import Cursor, Recorder, Timeline, TimelineOptions
+from ..timeline import Cursor, Recorder, Timeline
 from ..types import Dataset, DatasetSchema, Field, Policies
 from . import views
 from .views import sql
