@@ -50,6 +50,8 @@ BUCKET_BYTES = 256 << 20
 BLOCK = 512
 #: Chance that a pair of just the likeness asked for meets in some band.
 RECALL = 0.95
+#: Bits of a band beyond the logarithm of the number of classes: a class then meets one that is not near in few of its buckets.
+SPARE_BITS = 3
 
 
 class Walk:
@@ -382,7 +384,7 @@ def near_classes(prints: DataFrame, least: float = 0.8, recall: float = RECALL,
 
     known = prints.where("doc_id IS NOT NULL").select("doc_id", "fingerprint")
     classes = written(known.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "fingerprint"), "classes")
-    bits = max(12, classes.count().bit_length())
+    bits = max(12, classes.count().bit_length() + SPARE_BITS)
     bands = math.ceil(math.log(1 - recall) / math.log(1 - ((1 + least) / 2) ** bits))
     keyed = classes.mapInArrow(tidied(lambda batches: band_keys(batches, least, bands, bits, seed, False)), "key long, doc_id long")
     met = written(keyed.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(tidied(sharing), "key long, doc_id long, rank long"), "met")
