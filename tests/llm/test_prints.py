@@ -104,10 +104,10 @@ def test_bisection_finds_each_bucket(spark):
         assert all(r["b"] == sum(c <= (r["o"], r["h"]) for c in cuts) for r in got)
 
 
-@pytest.mark.parametrize("block, texts_of", [(512, 1500), (3, 400)])
+@pytest.mark.parametrize("block, texts_of", [(4096, 1500), (3, 400)])
 def test_near_classes(spark, monkeypatch, block, texts_of):
     """Recall of links against all pairs of fingerprints, and no class without links."""
-    monkeypatch.setattr(edit_embedding, "BLOCK", block)
+    monkeypatch.setattr(edit_embedding, "STARS", block)
     rng, walk = random.Random(11), edit_embedding.Walk()
     rows = []
     while len(rows) < texts_of:

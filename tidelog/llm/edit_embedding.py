@@ -48,6 +48,8 @@ PART_BYTES = 8 << 20
 BUCKET_BYTES = 256 << 20
 #: Classes of a bucket that are compared with as many others at a time.
 BLOCK = 512
+#: Classes of a bucket that are connected with as many others at a time.
+STARS = 4096
 #: Chance that a pair of just the likeness asked for meets in some band.
 RECALL = 0.95
 #: Bits of a band beyond the logarithm of the number of classes: a class then meets one that is not near in few of its buckets.
@@ -132,6 +134,31 @@ class Walk:
             for k in range(own, -1, -1) if k == own or self.sums[begin[k + 1] - 1] >= least * self.sums[n]
         ]
 
+    def hanging(self, prints: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Stars (index, centre's index) that connect what links of likeness least or more connect.
+
+        Of a tight group the first member finds nearly all the others, so it costs one row of comparisons.
+        """
+        n = np.searchsorted(self.at, [int(p.split(":")[0], 16) for p in prints])
+        bits = np.zeros((len(prints), int(n.max(initial=0))), np.uint8)
+        for row, k, p in zip(bits, n, prints):
+            row[:k] = np.unpackbits(np.frombuffer(bytes.fromhex(p.split(":")[1]), np.uint8))[:k]
+        left, a, b = np.arange(len(prints)), [], []
+        while len(left) > 1:
+            centre, front, left = left[0], [left[0]], left[1:]
+            while front and len(left):
+                i = front.pop()
+                m = n[i]
+                differ = ((bits[left, :m] != bits[i, :m]) & (np.arange(m) < n[left, None])) @ self.weight[:m]
+                less, more = self.sums[np.minimum(m, n[left])], self.sums[np.maximum(m, n[left])]
+                near = (1 - 2 * (differ + (more - less) / 2) / np.maximum(more, 1) >= least) | (more == 0)
+                front += left[near].tolist()
+                a.append(left[near])
+                b.append(np.full(int(near.sum()), centre))
+                left = left[~near]
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *a]), np.concatenate([none, *b])
+
     def likenesses(self, a: list[str], b: list[str]) -> np.ndarray:
         """likeness() of each of a and each of b. Weights are whole numbers, so the sums are exact in any order."""
 
@@ -370,14 +397,14 @@ def sharing(batches) -> Iterator[pa.RecordBatch]:
 def near_classes(prints: DataFrame, least: float = 0.8, recall: float = RECALL, seed: int = SEED) -> DataFrame:
     """(doc_id, near_class) of the documents (doc_id, fingerprint) that a smaller id stands for: the smallest that links of likeness least or more lead to.
 
-    A bucket is verified in pairs of blocks of BLOCK classes, over several tasks, and gives what hangs
+    A bucket is verified in pairs of blocks of STARS classes, over several tasks, and gives what hangs
     together there, never its pairs.
     """
 
     def verify(batches):
         walk = Walk(seed)
-        for _, (blocks, ids, held) in meetings(batches):
-            a, b = np.nonzero(np.triu(walk.likenesses(held, held) >= least, 1))
+        for _, (_, ids, held) in meetings(batches):
+            a, b = walk.hanging(held, least)
             if len(a):
                 nodes, low = roots(ids[a], ids[b])
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[nodes != low]), pa.array(low[nodes != low])], names=["a", "b"])
@@ -388,12 +415,12 @@ def near_classes(prints: DataFrame, least: float = 0.8, recall: float = RECALL,
     bands = math.ceil(math.log(1 - recall) / math.log(1 - ((1 + least) / 2) ** bits))
     keyed = classes.mapInArrow(tidied(lambda batches: band_keys(batches, least, bands, bits, seed, False)), "key long, doc_id long")
     met = written(keyed.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(tidied(sharing), "key long, doc_id long, rank long"), "met")
-    large = met.where((F.col("rank") > 0) & (F.col("rank") % BLOCK == 0)).groupBy("key").agg((F.max("rank") / BLOCK).cast("int").alias("last"))
+    large = met.where((F.col("rank") > 0) & (F.col("rank") % STARS == 0)).groupBy("key").agg((F.max("rank") / STARS).cast("int").alias("last"))
     if large.limit(1).count():
         sized = met.join(large, "key", "left").withColumn("last", F.coalesce("last", F.lit(0)))
     else:
         sized = met.withColumn("last", F.lit(0))
-    block = F.floor(F.col("rank") / BLOCK).cast("int").alias("block")
+    block = F.floor(F.col("rank") / STARS).cast("int").alias("block")
     sides = sized.select("key", "doc_id", block, F.explode(F.sequence(F.lit(0), "last")).alias("_other")).select("key", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "doc_id")
     placed = sides.join(classes, "doc_id").select("key", "i", "j", "block", "doc_id", "fingerprint").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     label = components(placed.mapInArrow(tidied(verify), "a long, b long")).withColumnRenamed("id", "rep")
