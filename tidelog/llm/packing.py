@@ -204,7 +204,7 @@ def read_matrices(files: DataFrame) -> DataFrame:
                         out.append((int(block["row_id"][k]), int(c[-1]), docs, s["start"].tolist(), c.tolist(), ids.read(ids_bytes), positions.read(positions_bytes)))
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), PACKED)], schema=PACKED)
 
-    return files.repartition("path").mapInArrow(tidied(read), DDL)
+    return files.repartition(max(1, files.count())).mapInArrow(tidied(read), DDL)  # a task for each, however short their rows are
 
 
 def op1(docs: DataFrame) -> DataFrame:
